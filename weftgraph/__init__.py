@@ -1,0 +1 @@
+"""A code-knowledge-graph engine on Spark DataFrames."""

@@ -29,6 +29,8 @@ from .common import materialize
 CONSTANT, LEAST_PAGES = 0.8, 4
 #: Up to so many template nodes, the table of templates is broadcast.
 BROADCAST_NODES = 50_000
+#: Up to so many hosts with a template, their exemplars (some hundred bytes each) are.
+BROADCAST_HOSTS = 20_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>",
@@ -303,9 +305,11 @@ def skeletons(pages: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame, constant: float = CONSTANT, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(host, template): the digests of each host's constant text nodes."""
-    distinct = skeletons(pages).dropDuplicates(["host", "whole"])
+    distinct = materialize(skeletons(pages).dropDuplicates(["host", "whole"]))
     exemplar = distinct.groupBy("host").agg(F.min_by(F.struct("tags", "counts", "digests"), "whole").alias("exemplar"), F.min("whole").alias("first"), F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    pairs = distinct.join(exemplar, "host").where("whole <> first").select("host", "tags", "counts", "digests", F.col("exemplar.tags").alias("t"), F.col("exemplar.counts").alias("c"), F.col("exemplar.digests").alias("d"))
+    exemplar = materialize(exemplar)
+    # a few hosts' exemplars go to every task; more are met by host, where adaptive execution splits a large one
+    pairs = distinct.join(F.broadcast(exemplar) if exemplar.count() <= BROADCAST_HOSTS else exemplar, "host").where("whole <> first").select("host", "tags", "counts", "digests", F.col("exemplar.tags").alias("t"), F.col("exemplar.counts").alias("c"), F.col("exemplar.digests").alias("d"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _COUNTS.split(", ")]

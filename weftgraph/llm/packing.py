@@ -12,11 +12,13 @@ sequences of powers of two, which need no padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,35 +33,97 @@ SHARD_DOCS = 1024
 SHARD_TOKENS = 1_500_000
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 CACHED_BYTES = 48
+SLICE_BYTES = 8 << 20
+#: Between an ASCII letter or digit and another ASCII sign than the apostrophe, either way round, no token goes on.
+_PARTS = re.compile(rb"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[a-z0-9])")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Ids:
-    """Token ids of whole texts; white space only separates, so runs between it can be kept."""
+    """Token ids of whole texts.
 
-    def __init__(self, path: str):
+    White space only separates, so the ids of the runs between it can be kept;
+    so can those of their parts, as letters, digits and other signs are never
+    in one token. Letters A-Z can be small from the start, as the vocabulary is.
+    """
+
+    def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[bytes, bytes] = {}
-
-    def fill(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of chunks as unsigned 32-bit integers."""
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        return {c: np.array(x.ids, "<u4").tobytes() for c, x in zip(chunks, found, strict=True)}
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        runs = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        missing = list({c for r in runs for c in r if c not in self.cache})
-        if len(self.cache) + len(missing) > CACHE_ENTRIES:
-            self.cache.clear()
-            missing = list({c for r in runs for c in r})
-        new = self.fill(missing)
-        self.cache.update(kv for kv in new.items() if len(kv[0]) <= CACHED_BYTES)
-        get = {**self.cache, **new}.__getitem__ if any(len(c) > CACHED_BYTES for c in missing) else self.cache.__getitem__
-        end = np.array([END_ID], "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(get, r)) + end, "<u4") for r in runs]
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.most = cache_entries
+        self.runs: dict[bytes, bytes] = {b"": b""}
+        self.parts: dict[bytes, bytes] = {}
+
+    def of_parts(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of parts as unsigned 32-bit integers; letters go many at a time and are told apart by their last tokens."""
+        texts = [c.decode("utf-8", "replace") for c in parts]
+        found: dict[bytes, bytes] = {}
+        alpha = [i for i, t in enumerate(texts) if t.isalpha()]
+        for lo in range(0, len(alpha), 256):
+            here = alpha[lo : lo + 256]
+            ids = np.array(self.tokenizer.encode(" ".join(texts[i] for i in here), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(here) and cut[-1] == len(ids):
+                found.update((parts[i], ids[a:b].tobytes()) for i, a, b in zip(here, [0, *cut.tolist()], cut.tolist(), strict=False))
+        rest = [i for i in range(len(parts)) if parts[i] not in found]
+        if rest:
+            encoded = self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+            found.update((parts[i], np.array(x.ids, "<u4").tobytes()) for i, x in zip(rest, encoded, strict=True))
+        return found
+
+    def known(self, cache: dict, keys: list[bytes], make) -> list[bytes]:
+        """The ids of distinct keys, from the cache or by make(). A full cache keeps what was just asked for."""
+        missing = [k for k in keys if k not in cache]
+        if missing:
+            made = make(missing)
+            if len(cache) + len(missing) > self.most:
+                keep = {k: cache[k] for k in keys if k in cache}
+                cache.clear()
+                cache.update(keep)
+            cache.update(made)
+        out = list(map(cache.__getitem__, keys))
+        for k in missing:
+            if len(k) > CACHED_BYTES:
+                del cache[k]
+        return out
+
+    def of_runs(self, runs: list[bytes]) -> dict[bytes, bytes]:
+        cut = [r.split(b"\t") for r in _PARTS.sub(b"\t", b" ".join(runs)).split(b" ")] if runs else []
+        parts = list({p for ps in cut for p in ps})
+        ids = dict(zip(parts, self.known(self.parts, parts, self.of_parts), strict=True))
+        return {r: ids[ps[0]] if len(ps) == 1 else b"".join(map(ids.__getitem__, ps)) for r, ps in zip(runs, cut, strict=True)}
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text and the end id. Only distinct runs are looked at one by one."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        found = split.flatten().dictionary_encode()
+        codes = found.indices.to_numpy()
+        runs = found.dictionary.cast(pa.binary()).to_pylist()
+        ids = self.known(self.runs, runs, self.of_runs)
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(lens) - lens
+        each = lens[codes]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        whole = np.frombuffer(b"".join(ids), "<u4")[np.repeat(first[codes] - upto[:-1], each) + np.arange(upto[-1])]
+        edges = upto[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        end = np.array([END_ID], "<u4")
+        return [np.concatenate([whole[a:b], end]) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def slices(batch: pa.RecordBatch, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of bounded text, or of one row; the text is its second column."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    at = np.cumsum(size) // most_bytes
+    cut = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cut, cut[1:], strict=False):
+        if hi > lo:
+            yield batch.slice(lo, hi - lo)
 
 
 def route(ids: np.ndarray) -> int:
@@ -70,16 +134,15 @@ def route(ids: np.ndarray) -> int:
     return int(a) << 31 | int(b)
 
 
-def tokenised(docs: DataFrame, path: str, slice_docs: int = 500) -> DataFrame:
+def tokenised(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, route, ids): the ids with the end id, compressed."""
     schema = pa.schema([("doc_id", pa.int64()), ("route", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, zstd = Ids(path), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for lo in range(0, batch.num_rows, slice_docs):
-                part = batch.slice(lo, slice_docs)
-                ids = encode(part.column(1).to_pylist())
+            for part in slices(batch):
+                ids = encode(part.column(1))
                 narrow = [x.astype("<u2") if x.max() < 1 << 16 else x for x in ids]
                 data = [bytes([x.itemsize]) + zstd.compress(x.tobytes()) for x in narrow]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([route(x) for x in ids], pa.int64()), pa.array(data, pa.binary())], schema=schema)
