@@ -8,12 +8,15 @@ With the class prior p, the risk is
 
 so that unlabelled toxic text isn't learned as clean; where the second part
 falls below zero, its gradient is turned round, which keeps a flexible model
-from fitting it away. Only features that are clearly more frequent in one of the
-two samples take part, so a long text gathers no noise.
+from fitting it away. A feature's value is its share of a text's words, full
+from one word in a hundred, so that what a long text holds by chance says
+little. Only features whose shares differ clearly between the two samples take
+part.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import exp, fsum
@@ -33,6 +36,8 @@ POSITIVES, UNLABELLED = 3000, 6000
 LEAST_Z, LEAST_DOCS = 4.5, 5
 #: Features that are rarer in toxic text say less, as most text lacks any one word; only the most telling are used.
 MOST_FEATURES = 4000
+#: A text counts as this many words at least, and a feature has its full value from one of so many words on.
+FULL_WORDS = 100
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 CACHE_ENTRIES = 300_000
@@ -50,13 +55,19 @@ def features(word: str) -> list[int]:
     return out
 
 
-def distinct_words(text: str | None) -> set[str]:
-    return set((text or "").lower().split())
+def counted_words(text: str | None) -> tuple[Counter, float]:
+    """How often each word occurs, and the value that one word adds to its features."""
+    ws = (text or "").lower().split()
+    return Counter(ws), FULL_WORDS / max(len(ws), FULL_WORDS)
 
 
-def features_of(text: str | None) -> np.ndarray:
-    """The distinct features of a text, sorted."""
-    return np.unique(np.array([f for w in distinct_words(text) for f in features(w)], np.uint32))
+def features_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct features of a text, sorted, and their values from 0 to 1."""
+    found, one = counted_words(text)
+    at = [(f, n) for w, n in found.items() for f in features(w)]
+    keys, index = np.unique(np.array([f for f, _ in at], np.uint32), return_inverse=True)
+    sums = np.bincount(index, np.array([n for _, n in at], float), len(keys)) if len(keys) else np.zeros(0)
+    return keys, np.minimum(1, sums * one).astype(np.float32)
 
 
 @dataclass
@@ -70,17 +81,18 @@ class Model:
         weights, bias = self.weights, self.bias
 
         def score(text: str | None) -> float:
-            found: set[int] = set()
-            for w in distinct_words(text):
+            words, one = counted_words(text)
+            sums: dict[int, int] = {}
+            for w, n in words.items():
                 f = known.get(w)
                 if f is None:
                     if len(known) >= CACHE_ENTRIES:
                         known.clear()
                     f = known[w] = tuple(x for x in features(w) if x in weights)
-                if f:
-                    found.update(f)
-            # fsum, as the order of a set differs between processes
-            return 1 / (1 + exp(-max(-60.0, min(60.0, fsum([bias, *(weights[x] for x in found)])))))
+                for x in f:
+                    sums[x] = sums.get(x, 0) + n
+            # fsum, so that the order of words makes no difference
+            return 1 / (1 + exp(-max(-60.0, min(60.0, fsum([bias, *(weights[x] * min(1.0, n * one) for x, n in sums.items())])))))
 
         return lambda texts: [score(t) for t in texts]
 
@@ -89,37 +101,44 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int = MOST_FEATURES) -> np.ndarray:
-    """The features whose shares of the two samples differ clearly, sorted."""
+Sample = list[tuple[np.ndarray, np.ndarray]]
+
+
+def telling(positive: Sample, unlabelled: Sample, most: int = MOST_FEATURES) -> np.ndarray:
+    """The features whose mean values in the two samples differ clearly, sorted."""
     n_p, n_u = len(positive), len(unlabelled)
-    keys, index = np.unique(np.concatenate(positive + unlabelled), return_inverse=True)
-    cut = sum(map(len, positive))
-    c_p, c_u = np.bincount(index[:cut], minlength=len(keys)), np.bincount(index[cut:], minlength=len(keys))
-    share = (c_p + c_u + 1) / (n_p + n_u + 2)
-    z = np.abs(c_p / n_p - c_u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
-    clear = np.flatnonzero((z >= LEAST_Z) & (c_p + c_u >= LEAST_DOCS))
+    docs = positive + unlabelled
+    keys, index = np.unique(np.concatenate([k for k, _ in docs]), return_inverse=True)
+    value = np.concatenate([v for _, v in docs]).astype(float)
+    cut = sum(len(k) for k, _ in positive)
+    sums = [np.bincount(index[at], value[at], len(keys)) for at in (slice(None, cut), slice(cut, None))]
+    mean = (sums[0] + sums[1]) / (n_p + n_u)
+    spread = np.bincount(index, value**2, len(keys)) / (n_p + n_u) - mean**2 + 1e-6
+    z = np.abs(sums[0] / n_p - sums[1] / n_u) / np.sqrt(spread * (1 / n_p + 1 / n_u))
+    clear = np.flatnonzero((z >= LEAST_Z) & (np.bincount(index, minlength=len(keys)) >= LEAST_DOCS))
     return np.sort(keys[clear[np.argsort(-z[clear], kind="stable")[:most]]])
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05, penalty: float = 1e-4) -> Model:
+def train(positive: Sample, unlabelled: Sample, prior: float, rounds: int = 400, rate: float = 0.05, penalty: float = 1e-4) -> Model:
     """Full-batch Adam on the non-negative risk with the logistic loss.
 
-    positive, unlabelled: sorted distinct features of each document. Without
-    positives or without unlabelled text all scores are 0.
+    positive, unlabelled: sorted distinct features of each document and their
+    values. Without positives or without unlabelled text all scores are 0.
     """
     if not positive or not unlabelled:
         return Model(-60.0)
     keys = telling(positive, unlabelled)
     docs = positive + unlabelled
-    here = [np.searchsorted(keys, x[np.isin(x, keys, assume_unique=True)]) for x in docs]
-    cols = np.concatenate(here).astype(np.int64)
-    row = np.repeat(np.arange(len(docs)), [len(x) for x in here])
+    used = [np.isin(k, keys, assume_unique=True) for k, _ in docs]
+    cols = np.concatenate([np.searchsorted(keys, k[u]) for (k, _), u in zip(docs, used, strict=True)]).astype(np.int64)
+    value = np.concatenate([v[u] for (_, v), u in zip(docs, used, strict=True)]).astype(float)
+    row = np.repeat(np.arange(len(docs)), [int(u.sum()) for u in used])
     is_p = np.arange(len(docs)) < len(positive)
     n_p, n_u = is_p.sum(), (~is_p).sum()
     w, b = np.zeros(len(keys)), float(np.log(prior / (1 - prior)))
     m1, m2 = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for t in range(1, rounds + 1):
-        f = np.bincount(row, w[cols], len(docs)) + b
+        f = np.bincount(row, w[cols] * value, len(docs)) + b
         loss_minus = np.logaddexp(0, f)
         negative = loss_minus[~is_p].mean() - prior * loss_minus[is_p].mean()
         up = sigmoid(f)  # the derivative of loss(-)
@@ -130,7 +149,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
         else:
             g[is_p] = prior * up[is_p] / n_p
             g[~is_p] = -up[~is_p] / n_u
-        grad = np.append(np.bincount(cols, g[row], len(keys)) + penalty * w, g.sum())
+        grad = np.append(np.bincount(cols, g[row] * value, len(keys)) + penalty * w, g.sum())
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.999 * m2 + 0.001 * grad**2
         step = rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
@@ -139,8 +158,13 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
 
 def featured(docs: DataFrame) -> DataFrame:
-    """(doc_id, f): the distinct features of each text as unsigned 32-bit integers."""
-    return map_texts(docs, lambda: lambda texts: {"f": [features_of(t).tobytes() for t in texts]}, "f binary")
+    """(doc_id, f, v): the distinct features of each text as unsigned 32-bit integers, and their values."""
+
+    def work(texts: list) -> dict[str, list]:
+        found = [features_of(t) for t in texts]
+        return {"f": [k.tobytes() for k, _ in found], "v": [v.tobytes() for _, v in found]}
+
+    return map_texts(docs, lambda: work, "f binary, v binary")
 
 
 def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
@@ -166,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive
     p_set, u_set = set(p_ids), set(u_ids)
     p, u = [], []
     for r in featured(chosen).toLocalIterator():
-        x = np.frombuffer(r["f"], np.uint32)
+        x = np.frombuffer(r["f"], np.uint32), np.frombuffer(r["v"], np.float32)
         if r["doc_id"] in p_set and len(p) < positives:
             p.append(x)
         if r["doc_id"] in u_set and len(u) < unlabelled:
