@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from .common import LOWER, map_texts, materialize
@@ -202,6 +203,16 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, bu
     return found
 
 
+def groups(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of each row, and (fp, root, component_id) of each fingerprint; root is the component's least fingerprint."""
+    of_doc = materialize(fingerprints(docs))
+    distinct = materialize(of_doc.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(links(distinct.select("fp"), distance, segments, bucket))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return of_doc, rooted.join(ids, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row.
 
@@ -210,17 +221,39 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: int = S
     Repeated rows each get a row. Rows with a null doc_id take part; they get
     the least id of their component, null if it has none.
     """
-    of_doc = materialize(fingerprints(docs))
-    distinct = of_doc.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = materialize(distinct)
-    roots = connected_components(links(distinct.select("fp"), distance, segments, bucket))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
+    of_doc, named = groups(docs, distance, segments, bucket)
     return of_doc.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with all their columns and their fingerprints."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The row of the least doc_id of each component, with all its columns; rows without doc_id go."""
-    kept = near_duplicates(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    """One row of each component, with all its columns: that of the least doc_id.
+
+    Of rows that repeat that doc_id, and of a component none of whose rows has
+    one, the row of the least fingerprint and text hash stays.
+    """
+    of_doc, named = groups(docs, **options)
+    named = materialize(named)
+    least = of_doc.join(named, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = materialize(least.groupBy(F.col("doc_id").alias("_id")).agg((F.count("*") > 1).alias("_again")))
+    plain = kept.where("_id IS NOT NULL AND NOT _again").select("_id")
+    out = docs.join(plain, docs["doc_id"].cast("long") == plain["_id"], "left_semi")
+    unclear = kept.where("_id IS NULL OR _again").select("_id")
+    if unclear.isEmpty():
+        return out
+    rows = with_fingerprint(docs.join(unclear, docs["doc_id"].cast("long").eqNullSafe(unclear["_id"]), "left_semi"), "_simhash")
+    about = named.select(F.col("fp").alias("_simhash"), F.col("root").alias("_root"), F.col("component_id").alias("_component"))
+    rows = rows.join(about, "_simhash").where(F.col("doc_id").cast("long").eqNullSafe(F.col("_component")))
+    first = rows.groupBy("_root").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct("_simhash", F.xxhash64("text"))).alias("_row"))
+    return out.unionByName(first.select("_row.*"))
