@@ -5,8 +5,10 @@ Every document hashes to one of CELLS points of a ring, every shard to several
 that shard is full, the point goes on clockwise to the first shard with room.
 Points are placed in a fixed order (most bytes first, then by number), so the
 result depends on nothing but the documents. Capacity is the mean times
-(1 + slack), which bounds every shard from above and, as the slack is all that
-can stay free, from below too; a document moves only if its home shard is full.
+(1 + slack); a point that no shard has room for goes to the emptiest one, so no
+shard exceeds the capacity by more than one point. As the slack is all that can
+stay free, shards are bounded from below too. A document moves only if its home
+shard is full.
 
 Documents are pre-aggregated to points before anything is placed, so the placing
 works on a table of CELLS rows however many documents there are. Everything is
@@ -24,8 +26,9 @@ CELLS = 1 << 14
 SLACK = 1 / 1024
 
 
-def cell_of(doc_id: Column, cells: int = CELLS) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(cells)).cast("int")
+def cell_of(doc_id: Column, text_crc32: Column, cells: int = CELLS) -> Column:
+    """The point of a document; rows without doc_id are told apart by their text."""
+    return F.pmod(F.xxhash64(doc_id, F.when(doc_id.isNull(), text_crc32)), F.lit(cells)).cast("int")
 
 
 def ring(spark: SparkSession, shards: int = SHARDS, replicas: int = REPLICAS, cells: int = CELLS) -> DataFrame:
@@ -71,12 +74,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, replicas: int = REPLICAS, cells
 
     law is `bytes`. size counts UTF-8 bytes plus 16; a null text has none and
     the crc of an empty one. slot numbers a shard's rows from 0 by point, then
-    doc_id, crc and size. Rows with one doc_id, or none, share a point. An empty
-    table gives no rows. Other columns are ignored.
+    doc_id, crc and size. Rows with one doc_id share a point, as do rows without
+    one that have equal texts. An empty table gives no rows. Other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = rows.withColumn("cell", cell_of(F.col("doc_id"), cells))
+    rows = rows.withColumn("cell", cell_of(F.col("doc_id"), F.col("text_crc32"), cells))
     sizes = rows.groupBy("cell").agg(F.sum("size").alias("n_bytes"), F.count("*").alias("n_rows"))
     placed = place(sizes, shards, replicas, cells, slack)
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
