@@ -32,8 +32,10 @@ def hash32(c: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """A vector of length one; zero stays zero."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    # v and its length are bound by one-element arrays, else each element would compute both anew
+    length = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    scale = lambda a: F.transform(F.array(length(a)), lambda n: F.transform(a, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(1.0)))
+    return F.get(F.get(F.transform(F.array(v), scale), F.lit(0)), F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -66,7 +68,9 @@ def round4(c: Column) -> Column:
 def contributions(words: Column) -> Column:
     """An array of (index, weight): each word by its length, each pair of neighbouring letters by a half."""
     pairs = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > 1, F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))))
-    weigh = lambda w, size: F.struct(F.pmod(hash32(w), F.lit(DIM)).cast("int").alias("i"), F.when(F.pmod(hash32(w), F.lit(2)) == 0, size).otherwise(-size).alias("w"))
+    # an index is even where its hash is
+    at = lambda w: F.pmod(hash32(w), F.lit(DIM)).cast("int")
+    weigh = lambda w, size: F.get(F.transform(F.array(at(w)), lambda i: F.struct(i.alias("i"), F.when(i % 2 == 0, size).otherwise(-size).alias("w"))), F.lit(0))
     of_words = F.transform(words, lambda w: weigh(w, (F.lit(1.0) + F.least(F.length(w), F.lit(4)).cast("double"))))
     return F.concat(of_words, F.transform(pairs, lambda g: weigh(g, F.lit(0.5))))
 
@@ -79,10 +83,10 @@ def embed(df: DataFrame, id: str, text: Column) -> DataFrame:
     """
     rows = df.select(F.col(id).alias("id"), contributions(T.split_identifier(text)).alias("c"))
     sums = rows.select("id", F.explode("c").alias("c")).groupBy("id", F.col("c.i").alias("i")).agg(F.sum("c.w").alias("w"))
-    sparse = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
-    out = rows.select("id").distinct().join(sparse, "id", "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,double>")))
-    return out.select("id", l2_normalize(dense).alias("vec"))
+    # at most DIM entries a text
+    sparse = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.when(F.col("n") > 0, F.coalesce(F.col("m")[i], F.lit(0.0)) / F.col("n")).otherwise(0.0))
+    return df.select(F.col(id).alias("id")).distinct().join(sparse, "id", "left").select("id", dense.alias("vec"))
 
 
 def node_text() -> Column:

@@ -82,7 +82,7 @@ class Query:
     items: list[Item] = field(default_factory=list)
     order: list[tuple[str, bool]] = field(default_factory=list)
     skip: int = 0
-    limit: int = DEFAULT_LIMIT
+    limit: int | None = None
 
 
 class Parser:
@@ -275,8 +275,8 @@ def test(c: Column, op: str, value: str) -> Column:
 class Compiler:
     """Turns a parsed query into one lazy plan over nodes and edges."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, first_edge: bool = False):
-        self.nodes, self.edges, self.first_edge = nodes, edges, first_edge
+    def __init__(self, nodes: DataFrame, edges: DataFrame, first_edge: bool = False, default_limit: int | None = DEFAULT_LIMIT):
+        self.nodes, self.edges, self.first_edge, self.default_limit = nodes, edges, first_edge, default_limit
 
     def side(self, p: NodePattern, where: list[Condition], properties: dict[str, set[str]]) -> DataFrame:
         """The nodes that a pattern can stand for, with only the properties that are used."""
@@ -379,16 +379,24 @@ class Compiler:
         else:
             out = df.select(*[value(i).alias(names[id(i)]) for i in plain]).distinct()
         out = out.select(*[names[id(i)] for i in q.items])
+        limit = self.default_limit if q.limit is None else q.limit
         keys = []
         for key, down in q.order:
             name = of.get(tuple(key.split("."))) if "." in key else key
             if name not in out.columns:
                 raise CypherError(f"ORDER BY {key}: not returned")
             keys.append(F.desc(name) if down else F.asc(name))
+        if limit is None and not q.skip and not keys:
+            return out
         ordered = out.orderBy(*keys, *[F.asc(c) for c in out.columns])
-        return (ordered.offset(q.skip) if q.skip else ordered).limit(q.limit)
+        ordered = ordered.offset(q.skip) if q.skip else ordered
+        return ordered if limit is None else ordered.limit(limit)
 
 
-def query(nodes: DataFrame, edges: DataFrame, text: str, first_edge: bool = False) -> DataFrame:
-    """The rows of a query. first_edge follows one edge per source and type only."""
-    return Compiler(nodes, edges, first_edge).compile(parse(text))
+def query(nodes: DataFrame, edges: DataFrame, text: str, first_edge: bool = False, default_limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+    """The rows of a query.
+
+    first_edge follows one edge per source and type only. With default_limit
+    None a query without LIMIT returns all rows, in no order but its own.
+    """
+    return Compiler(nodes, edges, first_edge, default_limit).compile(parse(text))
