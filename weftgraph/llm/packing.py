@@ -12,7 +12,6 @@ sequences of powers of two, which need no padding.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,20 +32,21 @@ SHARD_DOCS = 1024
 SHARD_TOKENS = 1_500_000
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 CACHED_BYTES = 48
 SLICE_BYTES = 8 << 20
 #: Between an ASCII letter or digit and another ASCII sign than the apostrophe, either way round, no token goes on.
-_PARTS = re.compile(rb"(?<=[a-z0-9])(?=[!-&(-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[a-z0-9])")
+_SIGNS = r"[!-&(-/:-@\[-`{-~]"
+_BEFORE, _AFTER = f"([a-z0-9])({_SIGNS})", f"({_SIGNS})([a-z0-9])"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Ids:
     """Token ids of whole texts.
 
-    White space only separates, so the ids of the runs between it can be kept;
-    so can those of their parts, as letters, digits and other signs are never
-    in one token. Letters A-Z can be small from the start, as the vocabulary is.
+    White space only separates, and letters, digits and other signs are never in
+    one token, so the ids of the parts between these borders can be kept.
+    Letters A-Z can be small from the start, as the vocabulary is.
     """
 
     def __init__(self, path: str, cache_entries: int = CACHE_ENTRIES):
@@ -57,8 +57,7 @@ class Ids:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.most = cache_entries
-        self.runs: dict[bytes, bytes] = {b"": b""}
-        self.parts: dict[bytes, bytes] = {}
+        self.cache: dict[bytes, bytes] = {b"": b""}
 
     def of_parts(self, parts: list[bytes]) -> dict[bytes, bytes]:
         """The ids of parts as unsigned 32-bit integers; letters go many at a time and are told apart by their last tokens."""
@@ -77,11 +76,12 @@ class Ids:
             found.update((parts[i], np.array(x.ids, "<u4").tobytes()) for i, x in zip(rest, encoded, strict=True))
         return found
 
-    def known(self, cache: dict, keys: list[bytes], make) -> list[bytes]:
-        """The ids of distinct keys, from the cache or by make(). A full cache keeps what was just asked for."""
+    def known(self, keys: list[bytes]) -> list[bytes]:
+        """The ids of distinct parts. A full cache keeps what was just asked for."""
+        cache = self.cache
         missing = [k for k in keys if k not in cache]
         if missing:
-            made = make(missing)
+            made = self.of_parts(missing)
             if len(cache) + len(missing) > self.most:
                 keep = {k: cache[k] for k in keys if k in cache}
                 cache.clear()
@@ -93,19 +93,15 @@ class Ids:
                 del cache[k]
         return out
 
-    def of_runs(self, runs: list[bytes]) -> dict[bytes, bytes]:
-        cut = [r.split(b"\t") for r in _PARTS.sub(b"\t", b" ".join(runs)).split(b" ")] if runs else []
-        parts = list({p for ps in cut for p in ps})
-        ids = dict(zip(parts, self.known(self.parts, parts, self.of_parts), strict=True))
-        return {r: ids[ps[0]] if len(ps) == 1 else b"".join(map(ids.__getitem__, ps)) for r, ps in zip(runs, cut, strict=True)}
-
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text and the end id. Only distinct runs are looked at one by one."""
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        """The ids of each text and the end id. Only distinct parts are looked at one by one."""
+        cut = pc.ascii_lower(pc.fill_null(texts, ""))
+        for border in (_BEFORE, _AFTER):
+            cut = pc.replace_substring_regex(cut, border, r"\1 \2")
+        split = pc.ascii_split_whitespace(cut)
         found = split.flatten().dictionary_encode()
         codes = found.indices.to_numpy()
-        runs = found.dictionary.cast(pa.binary()).to_pylist()
-        ids = self.known(self.runs, runs, self.of_runs)
+        ids = self.known(found.dictionary.cast(pa.binary()).to_pylist())
         lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         first = np.cumsum(lens) - lens
         each = lens[codes]
@@ -116,6 +112,16 @@ class Ids:
         return [np.concatenate([whole[a:b], end]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+_SHARED: dict[str, Ids] = {}
+
+
+def shared_ids(path: str) -> Ids:
+    """One for all tasks of a Python worker, so that common words stay known from task to task."""
+    if path not in _SHARED:
+        _SHARED[path] = Ids(path)
+    return _SHARED[path]
+
+
 def slices(batch: pa.RecordBatch, most_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in parts of bounded text, or of one row; the text is its second column."""
     size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
@@ -139,7 +145,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("route", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, zstd = Ids(path), zstandard.ZstdCompressor(level=1)
+        encode, zstd = shared_ids(path), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part in slices(batch):
                 ids = encode(part.column(1))
