@@ -113,10 +113,26 @@ def content_hash(content: Column | str) -> Column:
 
 
 def read_rules(spark: SparkSession, root: str) -> list[Rule]:
-    """The rules of all ignore files under root, outer folders first."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(IGNORE_FILES) + "}").load(root)
-    rows = found.select("path", F.decode("content", "UTF-8").alias("text")).collect()  # ignore files only
-    rules = [r for row in sorted(rows, key=lambda r: (r["path"].count("/"), r["path"])) for r in parse_rules(row["text"])]
+    """The rules of all ignore files under root, outer folders first.
+
+    Spark's readers pass over hidden files, so these are opened through the
+    file system that root lies in.
+    """
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, listed = [], fs.listFiles(path, True)
+    while listed.hasNext():
+        at = listed.next().getPath()
+        if at.getName() in IGNORE_FILES:
+            found.append((str(at).count("/"), str(at), at))
+    rules = []
+    for _, _, at in sorted(found, key=lambda x: x[:2]):
+        stream = fs.open(at)
+        try:
+            rules += parse_rules(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
     return rules
 
 
