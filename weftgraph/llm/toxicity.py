@@ -104,19 +104,27 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 Sample = list[tuple[np.ndarray, np.ndarray]]
 
 
-def telling(positive: Sample, unlabelled: Sample, most: int = MOST_FEATURES) -> np.ndarray:
-    """The features whose mean values in the two samples differ clearly, sorted."""
+def telling(positive: Sample, unlabelled: Sample, most: int = MOST_FEATURES, ranges: int = 16) -> np.ndarray:
+    """The features whose mean values in the two samples differ clearly, sorted. One range of hashes is looked at after another, to bound memory."""
     n_p, n_u = len(positive), len(unlabelled)
-    docs = positive + unlabelled
-    keys, index = np.unique(np.concatenate([k for k, _ in docs]), return_inverse=True)
-    value = np.concatenate([v for _, v in docs]).astype(float)
-    cut = sum(len(k) for k, _ in positive)
-    sums = [np.bincount(index[at], value[at], len(keys)) for at in (slice(None, cut), slice(cut, None))]
-    mean = (sums[0] + sums[1]) / (n_p + n_u)
-    spread = np.bincount(index, value**2, len(keys)) / (n_p + n_u) - mean**2 + 1e-6
-    z = np.abs(sums[0] / n_p - sums[1] / n_u) / np.sqrt(spread * (1 / n_p + 1 / n_u))
-    clear = np.flatnonzero((z >= LEAST_Z) & (np.bincount(index, minlength=len(keys)) >= LEAST_DOCS))
-    return np.sort(keys[clear[np.argsort(-z[clear], kind="stable")[:most]]])
+    found: list[np.ndarray] = []
+    scores: list[np.ndarray] = []
+    for i in range(ranges):
+        bounds = np.array([(i << 32) // ranges, ((i + 1) << 32) // ranges])
+        cuts = [np.searchsorted(k, bounds) for k, _ in positive + unlabelled]
+        here = [(k[lo:hi], v[lo:hi]) for (k, v), (lo, hi) in zip(positive + unlabelled, cuts, strict=True)]
+        keys, index = np.unique(np.concatenate([k for k, _ in here]), return_inverse=True)
+        value = np.concatenate([v for _, v in here]).astype(float)
+        cut = sum(len(k) for k, _ in here[:n_p])
+        sums = [np.bincount(index[at], value[at], len(keys)) for at in (slice(None, cut), slice(cut, None))]
+        mean = (sums[0] + sums[1]) / (n_p + n_u)
+        spread = np.bincount(index, value**2, len(keys)) / (n_p + n_u) - mean**2 + 1e-6
+        z = np.abs(sums[0] / n_p - sums[1] / n_u) / np.sqrt(spread * (1 / n_p + 1 / n_u))
+        clear = np.flatnonzero((z >= LEAST_Z) & (np.bincount(index, minlength=len(keys)) >= LEAST_DOCS))
+        found.append(keys[clear])
+        scores.append(z[clear])
+    keys = np.concatenate(found)
+    return np.sort(keys[np.argsort(-np.concatenate(scores), kind="stable")[:most]])
 
 
 def train(positive: Sample, unlabelled: Sample, prior: float, rounds: int = 400, rate: float = 0.05, penalty: float = 1e-4) -> Model:
