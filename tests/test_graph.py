@@ -9,7 +9,7 @@ from weftgraph import schema
 from weftgraph.functions import text as T
 from weftgraph.functions import vector as V
 from weftgraph.operators import graph, maintenance, traces
-from weftgraph.plans import cypher
+from weftgraph.plans import cypher, demo_graph
 from weftgraph.plans.catalogue import QUERIES, SQL
 
 P = "test-proj"
@@ -218,3 +218,13 @@ def test_upsert_and_prune(spark, nodes, edges):
 def test_every_query_has_a_name_and_sql():
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {"hybrid_search", "embedding_index"}
+
+
+def test_hybrid_search_ranks_all_code(spark, sf_dir, monkeypatch):
+    """The nodes it searches and embeds are all those with a label of code."""
+    given = []
+    monkeypatch.setattr(V, "semantic_query", lambda nodes, index, *a, **k: given.append((nodes, index)) or nodes)
+    QUERIES["hybrid_search"](spark, sf_dir)
+    nodes, index = given[0]
+    want = {r.id for r in demo_graph.nodes(spark, sf_dir).collect() if r.label in schema.CODE_LABELS}
+    assert {r.id for r in nodes.collect()} == want == {r.node_id for r in index.select("node_id").collect()}
