@@ -181,6 +181,19 @@ def test_neighbours_are_lexical():
     assert same >= 70
 
 
+def test_weights_are_of_the_whole_corpus(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    ids = [np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 2]) for r in docs.collect()]
+    df = Counter(k for x in ids for k in set(x.tolist()))
+    corpus = packing.statistics(packing.tokenised(docs, P.path("word_bpe_49k.json")))
+    assert (corpus.n, {i: int(corpus.df[i]) for i in np.flatnonzero(corpus.df)}) == (len(ids), df)
+    assert math.isclose(corpus.mean, sum(map(len, ids)) / len(ids))
+    index = packing.Index(ids[:5], corpus)
+    assert np.allclose(index.idf, [math.log1p((len(ids) - df[k] + 0.5) / (df[k] + 0.5)) for k in index.terms.tolist()])
+
+
 # Exact top-k
 
 

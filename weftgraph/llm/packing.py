@@ -3,7 +3,7 @@
 Documents are cut into shards of bounded size in an order by a min-hash of
 their tokens, which brings texts with common words together and lets one huge
 group of copies go on over many shards. Each shard has a BM25 inverted index
-over token ids. A window starts with a seed, the first unused document; the
+over token ids, weighted by the statistics of the whole corpus. A window starts with a seed, the first unused document; the
 index returns the seed's nearest unused neighbours, best first, which fill the
 window, and the last of them is cut where the window ends and goes on in the
 next. Only the end of a partition leaves less than a window: it is cut into
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -157,10 +158,48 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, route long, ids binary")
 
 
+class Corpus(NamedTuple):
+    """What BM25 needs of all documents: their number, mean length, and how many hold each id."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+
+def statistics(rows: DataFrame) -> Corpus:
+    """Of all rows of tokenised(); what reaches the driver is bounded by the vocabulary."""
+    schema = pa.schema([("term", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zstd, df = zstandard.ZstdDecompressor(), np.zeros(1 << 16, np.int64)
+        docs = tokens = 0
+        for batch in batches:
+            for data in batch.column(0):
+                ids = unpacked(zstd, data.as_py())
+                docs += 1
+                tokens += len(ids)
+                terms = np.unique(ids)
+                if terms[-1] >= len(df):
+                    df = np.pad(df, (0, int(terms[-1]) + 1 - len(df)))
+                df[terms] += 1
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, [-1, -2])), pa.array(np.append(df[found], [docs, tokens]))], schema=schema)
+
+    sums = {r["term"]: r["n"] for r in rows.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, tokens = sums.pop(-1, 0), sums.pop(-2, 0)
+    df = np.zeros(max(sums, default=0) + 1, np.int64)
+    df[list(sums)] = list(sums.values())
+    return Corpus(n, tokens / max(n, 1), df)
+
+
+def unpacked(zstd: zstandard.ZstdDecompressor, data: bytes) -> np.ndarray:
+    return np.frombuffer(zstd.decompress(data[1:]), f"<u{data[0]}")
+
+
 class Index:
-    """A BM25 inverted index over the documents of one shard."""
+    """A BM25 inverted index over the documents of one shard; without a corpus they are the corpus."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         self.n = len(docs)
         terms, tf, doc = [], [], []
         for i, x in enumerate(docs):
@@ -175,9 +214,10 @@ class Index:
         size = np.array([len(x) for x in docs], float)
         self.terms, self.first, df = np.unique(t, return_index=True, return_counts=True)
         self.end = self.first + df
-        self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
+        n, mean, of_all = (self.n, size.mean(), df) if corpus is None else (corpus.n, corpus.mean, corpus.df[self.terms])
+        self.idf = np.log1p((n - of_all + 0.5) / (of_all + 0.5))
         self.df = df
-        self.weight = np.repeat(self.idf, df) * c * (K1 + 1) / (c + K1 * (1 - B + B * size[self.doc] / size.mean()))
+        self.weight = np.repeat(self.idf, df) * c * (K1 + 1) / (c + K1 * (1 - B + B * size[self.doc] / mean))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """The unused documents that share one of the seed's rarest terms, best first."""
@@ -192,9 +232,9 @@ class Index:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def order(docs: list[np.ndarray], room: int, window: int = WINDOW) -> Iterator[int]:
+def order(docs: list[np.ndarray], room: int, window: int = WINDOW, corpus: Corpus | None = None) -> Iterator[int]:
     """The documents in the order in which they fill windows; room: what the open window has left."""
-    index = Index(docs)
+    index = Index(docs, corpus)
     unused = np.ones(len(docs), bool)
     seed = 0
     while True:
@@ -280,7 +320,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_docs: int = SHA
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for i in order(docs, writer.room, window) if docs else ():
+            for i in order(docs, writer.room, window, corpus) if docs else ():
                 writer.add(ids[i], docs[i])
             ids.clear()
             docs.clear()
@@ -291,7 +331,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_docs: int = SHA
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = data.as_py()
                 ids.append(doc_id)
-                docs.append(np.frombuffer(zstd.decompress(data[1:]), f"<u{data[0]}"))
+                docs.append(unpacked(zstd, data))
                 held += len(docs[-1])
                 if len(docs) >= shard_docs or held >= shard_tokens:
                     held = 0
@@ -301,6 +341,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_docs: int = SHA
         yield from flush()
 
     rows = materialize(tokenised(docs, path))
+    corpus = statistics(rows)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     near = rows.repartitionByRange(parts, "route", "doc_id").sortWithinPartitions("route", "doc_id")
     return near.select("doc_id", "ids").mapInArrow(run, PIECES)
