@@ -181,6 +181,23 @@ def test_neighbours_are_lexical():
     assert same >= 70
 
 
+def test_neighbours_count_all_terms():
+    """The order is that of BM25 over every term of a long seed."""
+    rng = np.random.default_rng(4)
+    docs = [rng.zipf(1.3, 900).clip(0, 5000).astype("<u4") for _ in range(60)]
+    n, mean = len(docs), np.mean([len(x) for x in docs])
+    tf = [Counter(x.tolist()) for x in docs]
+    df = Counter(k for c in tf for k in c)
+    part = lambda k, c, x: math.log1p((n - df[k] + 0.5) / (df[k] + 0.5)) * c[k] * 2.2 / (c[k] + 1.2 * (0.25 + 0.75 * len(x) / mean))
+    unused = np.ones(n, bool)
+    unused[:3] = False
+    index = packing.Index(docs)
+    for seed in range(3):
+        assert len(tf[seed]) > 100
+        score = {i: sum(part(k, tf[i], docs[i]) for k in tf[seed] if k in tf[i]) for i in range(3, n)}
+        assert index.neighbours(seed, unused).tolist() == sorted(score, key=lambda i: -score[i])
+
+
 def test_weights_are_of_the_whole_corpus(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))

@@ -31,7 +31,6 @@ WINDOW = 4096
 END_ID = 2
 SHARD_DOCS = 1024
 SHARD_TOKENS = 1_500_000
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 CACHE_ENTRIES = 800_000
 CACHED_BYTES = 48
@@ -220,14 +219,12 @@ class Index:
         self.weight = np.repeat(self.idf, df) * c * (K1 + 1) / (c + K1 * (1 - B + B * size[self.doc] / mean))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """The unused documents that share one of the seed's rarest terms, best first."""
+        """The unused documents that share a term with the seed, best first by all of its terms."""
         at = np.searchsorted(self.terms, self.of_doc[seed])
         at = at[self.df[at] > 1]
-        at = at[np.argsort(-self.idf[at], kind="stable")[:QUERY_TERMS]]
-        score = np.zeros(self.n)
-        for k in at.tolist():
-            lo, hi = self.first[k], self.end[k]
-            score[self.doc[lo:hi]] += self.weight[lo:hi]
+        size = self.df[at]
+        where = np.repeat(self.first[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        score = np.bincount(self.doc[where], self.weight[where], self.n)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 
