@@ -243,3 +243,9 @@ def test_streamed_trace_counts(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("trace_counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("trace_counts").collect())) == [("a", "b", 2), ("b", "a", 2)]
+
+
+def test_long_signatures_stay_whole():
+    params = ", ".join(f"parameter{i}: number" for i in range(40))
+    found = [e["signature"] for e in extract.facts("typescript", "a.ts", f"function long({params}) {{\n}}\n") if e["kind"] == "define"]
+    assert found == [f"function long({params})"]

@@ -219,7 +219,7 @@ def _braces(text: str, lang: str) -> Iterator[dict]:
             label = "Method" if in_type or lang == "go" and re.match(r"func\s+\(", src.code[start:at]) else "Function"
         local = ".".join([*(n for _, k, n in open_ if k != "Module"), name])
         found.append((at, end, label, name, local))
-        signature = " ".join(src.text[start : src.code.find("{", at) if 0 <= src.code.find("{", at) < end else end].split())[:300]
+        signature = " ".join(src.text[start : src.code.find("{", at) if 0 <= src.code.find("{", at) < end else end].split())
         yield {"kind": "define", "name": name, "label": label, "target_name": local, "signature": signature, "doc": src.doc(start), **place(start, end)}
         open_.append((end, label, name))
     for pattern in rules.imports:
