@@ -328,6 +328,15 @@ def test_toxicity_held_out(spark, documents):
     assert len(wrong) < 0.1 * len(held)
 
 
+def test_positives_without_a_document_take_no_place(spark, documents, monkeypatch):
+    docs = documents.where("doc_id < 40")
+    labels = spark.createDataFrame([(i, 0, 1) for i in [*range(40), *range(10**6, 10**6 + 400)]], "doc_id long, quality int, toxic int")
+    fitted = []
+    monkeypatch.setattr(toxicity, "train", lambda p, u, prior: fitted.append(len(p)))
+    toxicity.fit(docs, labels, positives=20)
+    assert fitted == [20]
+
+
 def test_toxicity_odd(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 0, 1), (5, 1, 0), (8, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(odd_docs, labels).collect()

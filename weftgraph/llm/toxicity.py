@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, positive
     first = lambda ids, n: [r[0] for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]  # noqa: E731  n ids at most
     spark = docs.sparkSession
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    p_ids = first(known.where("toxic = 1").select("doc_id").distinct(), positives)
+    p_ids = first(known.where("toxic = 1").select("doc_id").distinct().join(ids, "doc_id", "left_semi"), positives)
     u_ids = first(ids.where(own), unlabelled)
     rows = spark.createDataFrame([(i, True) for i in p_ids] + [(i, False) for i in u_ids], "doc_id long, positive boolean").distinct()
     # at most positives + unlabelled rows
