@@ -8,6 +8,8 @@ import struct
 import public_tokenizers as P
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from weftgraph.llm import bpe, licenses, quality
 
@@ -132,9 +134,8 @@ def test_bpe_equals_the_library(documents, odd_docs, no_docs, reference_encoding
     assert bpe.bpe_round_trip(no_docs, path, P.PATTERN).count() == 0
 
 
-@pytest.mark.parametrize("leaf", [2, 5, 64])
-def test_bpe_tree_of_long_pieces(leaf, reference_encoding):
-    coder = bpe.TreeEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, leaf)
+def test_bpe_tree_of_long_pieces(reference_encoding):
+    coder = bpe.TreeEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     for text in ("a" * 1000, "abcabcabd" * 200, "=-" * 700, "Donaudampfschifffahrtsgesellschaft" * 30, "\U0001f600" * 300, "1" * 999, "x" * 63 + "yz" * 65):
         ids = coder.encode(text)
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == reference_encoding.encode_ordinary(text)
@@ -146,3 +147,30 @@ def test_bpe_white_space(text, reference_encoding):
     coder = bpe.TreeEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     ids = coder.encode(text)
     assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == reference_encoding.encode_ordinary(text)
+
+
+def test_every_piece_is_joined_from_its_bytes(documents, reference_encoding, monkeypatch):
+    """Without joining only single bytes are known, and what the tree gives is what the library gives."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    pieces = {p.encode() for r in documents.where("doc_id < 60").collect() for p in bpe.TreeEncoder(path, P.PATTERN).pieces(r.text or "")}
+    coder = bpe.TreeEncoder(path, P.PATTERN)
+    assert all(len(p) == 1 for p in coder.parts)
+    assert [coder.piece(p) for p in pieces] == [reference_encoding._core_bpe.encode_single_piece(p) for p in pieces]
+    monkeypatch.setattr(bpe.TreeEncoder, "join", lambda self, left, right: [])
+    lost = bpe.TreeEncoder(path, P.PATTERN)
+    assert all(lost.piece(p) == [] for p in pieces if len(p) > 1)
+    assert len(pieces) > 1000
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"aa", b"the", b" ", b"\xe3\x81", b"\x82", b"ing", b"=", b"0", b"th"]), max_size=60), st.data())
+def test_joining_is_associative(parts, data):
+    coder = CODER.setdefault("coder", bpe.TreeEncoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
+    whole = b"".join(parts)
+    i = data.draw(st.integers(0, len(whole)))
+    j = data.draw(st.integers(i, len(whole)))
+    a, b, c = (coder.piece(x) for x in (whole[:i], whole[i:j], whole[j:]))
+    assert coder.join(coder.join(a, b), c) == coder.join(a, coder.join(b, c)) == coder.piece(whole)
+
+
+CODER: dict = {}
