@@ -131,6 +131,33 @@ def test_ring_bounds_loads_and_movement(spark):
     assert sum(r.home == r.shard for r in placed) > 0.8 * len(placed)
 
 
+def test_one_more_shard_moves_little(spark):
+    """40 to 41 shards: the new one fills up, old ones exchange next to nothing, and loads stay bounded."""
+    cells = spark.range(1 << 13).selectExpr("cast(id as int) cell", "1000 + id % 7 n_bytes", "1L n_rows")
+    before = {r.cell: r.shard for r in sharding.place(cells, 40, cells=1 << 13).collect()}
+    after = {r.cell: r.shard for r in sharding.place(cells, 41, cells=1 << 13).collect()}
+    weight = {c: 1000 + c % 7 for c in before}
+    whole = sum(weight.values())
+    into_new = sum(weight[c] for c in before if after[c] == 40)
+    between_old = sum(weight[c] for c in before if after[c] not in (40, before[c]))
+    assert 0.98 * whole / 41 < into_new <= 1.01 * whole / 41
+    assert between_old < 0.04 * whole
+    load = Counter()
+    for c, s in after.items():
+        load[s] += weight[c]
+    assert max(load.values()) < whole / 41 * (1 + sharding.SLACK) + 1007
+
+
+def test_ring_is_clockwise(spark):
+    """Each point's shards are those of the virtual nodes at or after it, in their order round the ring."""
+    got = {r.cell: r.pref for r in sharding.ring(spark, 5, 3, 64).collect()}
+    hashed = spark.range(15).selectExpr("int(id / 3) s", "id % 3 r").selectExpr("s", "r", "cast(pmod(xxhash64('node', s, r), 64) as int) p").collect()
+    nodes = sorted((r.p, r.s, r.r) for r in hashed)
+    for cell in range(64):
+        round_ = [n[1] for n in nodes if n[0] >= cell] + [n[1] for n in nodes if n[0] < cell]
+        assert got[cell] == list(dict.fromkeys(round_))
+
+
 # Packing
 
 

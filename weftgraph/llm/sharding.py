@@ -8,7 +8,8 @@ result depends on nothing but the documents. Capacity is the mean times
 (1 + slack); a point that no shard has room for goes to the emptiest one, so no
 shard exceeds the capacity by more than one point. As the slack is all that can
 stay free, shards are bounded from below too. A document moves only if its home
-shard is full.
+shard is full, and one more shard moves little but what it takes itself: of
+points of like size about 2% of the bytes change between old shards.
 
 Documents are pre-aggregated to points before anything is placed, so the placing
 works on a table of CELLS rows however many documents there are. Everything is
@@ -33,7 +34,9 @@ def cell_of(doc_id: Column, text_crc32: Column, cells: int = CELLS) -> Column:
 
 def ring(spark: SparkSession, shards: int = SHARDS, replicas: int = REPLICAS, cells: int = CELLS) -> DataFrame:
     """(cell, pref): for each point of the ring all shards in clockwise order of their first virtual node."""
-    nodes = spark.range(0, shards * replicas, 1, 1).select(F.pmod(F.xxhash64(F.lit("node"), "id"), F.lit(cells)).cast("int").alias("pos"), (F.col("id") % shards).cast("int").alias("shard"), "id")
+    shard, replica = F.floor(F.col("id") / replicas).cast("int"), F.col("id") % replicas
+    # a node's place depends on its shard and replica alone, so that one more shard leaves all others where they are
+    nodes = spark.range(0, shards * replicas, 1, 1).select(F.pmod(F.xxhash64(F.lit("node"), shard, replica), F.lit(cells)).cast("int").alias("pos"), shard.alias("shard"), "id")
     whole = nodes.agg(F.array_sort(F.collect_list(F.struct("pos", "id", "shard"))).alias("r")).select(F.col("r.pos").alias("pos"), F.col("r.shard").alias("shard"))
     at = whole.select("pos", "shard", F.posexplode("pos").alias("i", "p"))
     pref = F.array_distinct(F.concat(F.slice("shard", F.col("i") + 1, F.size("shard")), F.slice("shard", F.lit(1), F.col("i"))))
@@ -74,8 +77,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, replicas: int = REPLICAS, cells
 
     law is `bytes`. size counts UTF-8 bytes plus 16; a null text has none and
     the crc of an empty one. slot numbers a shard's rows from 0 by point, then
-    doc_id, crc and size. Rows with one doc_id share a point, as do rows without
-    one that have equal texts. An empty table gives no rows. Other columns are ignored.
+    doc_id, crc and size. Rows with one doc_id share a point and are numbered by
+    one task, as do rows without one that have equal texts; so doc_id should be
+    a key. A text of any length is measured whole. An empty table gives no rows.
+    Other columns, whatever their names, are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
