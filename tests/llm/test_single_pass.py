@@ -46,16 +46,18 @@ def test_quality_figures(documents, odd_docs):
             assert not (r.base_failed and r.kept)
 
 
-def test_quality_bands():
+def test_quality_bands(documents):
     """Junk that the base rules keep falls by its ratio, on either side, and in a part of a document too."""
     judge = quality.Judge()
     rng = random.Random(5)
-    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(900)]
     noise = " ".join(base64.b64encode(hashlib.sha256(str(i).encode()).digest()).decode() for i in range(2000))
-    decorated = " ".join(rng.choice(words) + rng.choice(["###", "$$$", "&&&", "***"]) for _ in range(1500))
     assert judge(noise)[5:7] == (False, False)
-    assert judge(decorated)[5:7] == (False, False)
-    assert judge(" ".join(rng.choice(words) for _ in range(700)) + " " + noise[:4096])[5:7] == (False, False)
+    texts = [r.text for r in documents.where("length(text) > 2000 and doc_id < 300").collect()]
+    prose = [t for t in texts if judge(t)[6]][:20]
+    assert len(prose) == 20
+    for t in prose:
+        assert judge(" ".join(w + rng.choice(["###", "$$$", "&&&", "***"]) for w in t.split()))[5:7] == (False, False)
+        assert judge(t + " " + noise[: len(t)])[5:7] == (False, False)
     bands = quality.Bands()
     assert all(lo < hi for lo, hi in map(bands.limits, (0, 1, 200, 5000, 10**6, 10**9)))
     assert bands.limits(4096) == (1.86, 2.28)
