@@ -251,6 +251,37 @@ def test_top_k(spark, sf_dir):
     assert sorted(map(tuple, topk.top_k(rows, block=16, pivots=5, rings=3, sample=50).collect())) == want
 
 
+def test_bounds_spare_comparisons(spark):
+    """Of clustered vectors few pairs are compared, and the result is that of all pairs."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(0, 40, 4000)] + 0.02 * rng.normal(size=(4000, 16))).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    figures = {}
+    got = sorted(map(tuple, topk.top_k(rows, pivots=40, figures=figures).collect()))
+    v = np.floor(1024 * x.astype(float)).astype(np.int64)
+    want = []
+    for q in range(0, 4000, 100):
+        score = v @ v[q]
+        score[q] = -(1 << 62)
+        want += [(q, r + 1, int(i), int(score[i])) for r, i in enumerate(np.lexsort((np.arange(4000), -score))[:10])]
+    assert got == sorted(want)
+    assert figures["pairs"] == 40 * 4000
+    assert figures["compared"] < 0.5 * figures["pairs"]
+
+
+def test_repeated_vector_ids(spark):
+    """A repeated vec_id is so many candidates and one query; a third of all rows may be one vector."""
+    rows = [(i, [float(i % 7), 1.0]) for i in range(60)] + [(200, [0.5, 0.5])] * 2 + [(1000 + i, [3.0, 3.0]) for i in range(40)]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=8).collect()))
+    v = [(i, [int(1024 * c) for c in x]) for i, x in rows]
+    want = []
+    for q, x in {0: v[0][1], 200: v[60][1], 1000: v[62][1]}.items():
+        scored = sorted((-(x[0] * y[0] + x[1] * y[1]), i) for i, y in v if i != q)[:10]
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    assert got == sorted(want)
+
+
 def test_top_k_odd(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 0.0]), (100, [-1.0, 0.5]), (200, None), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS rank", "2 AS score")

@@ -3,15 +3,22 @@
 Vectors become integers and get one more coordinate that gives all the same
 length, so that the largest inner product is the least Euclidean distance. Each
 vector is keyed by its nearest pivot and by the annulus round it that holds its
-distance. A query first searches its own annulus, which gives it a k-th best
-distance; the other annuli are then taken up only where the triangle inequality,
-|d(q, pivot) - d(x, pivot)| <= d(q, x), leaves room for something better. The
-annuli around a pivot are sorted, so that this is a run of them around the query.
-
-Pivots and the annuli's borders come from a bounded sample of vectors; every
-vector is indexed, and the bounds are those of the vectors themselves. An annulus
-of many vectors is dealt into blocks by a hash of the id, so a vector that is
-repeated millions of times is no hot key. Queries travel in blocks too.
+distance; within its block vectors are sorted by that distance. By the triangle
+inequality, |d(q, pivot) - d(x, pivot)| <= d(q, x), so an annulus has a highest
+score that any of its vectors can reach. A query takes up the annuli in falling
+order of that bound, a few at first and four times as many in each further
+round, and stops at the first that cannot reach its k-th best score so far; of
+an annulus it looks at the run of distances that can.
+
+The number of pivots grows with the root of the number of vectors. Pivots and
+the annuli's borders come from a bounded sample of vectors; every vector is
+indexed, and the bounds are those of the vectors themselves. An annulus of many
+vectors is dealt into blocks by a hash of the id, so a vector that is repeated
+millions of times is no hot key. Queries travel in blocks too.
+
+How much this saves depends on the vectors. Where they are spread evenly over a
+sphere of many dimensions, all distances are nearly alike and next to every pair
+has to be compared; where they lie in clusters, few have to.
 """
 
 from __future__ import annotations
@@ -27,11 +34,17 @@ from .common import materialize
 
 SCALE = 1024
 K = 10
-PIVOTS, RINGS, SAMPLE = 16, 8, 4096
+#: Pivots: the root of the number of vectors over ROOT_SHARE, within these limits; the sample has so many vectors for each.
+LEAST_PIVOTS, MOST_PIVOTS, ROOT_SHARE, SAMPLE_EACH, LEAST_SAMPLE = 16, 1024, 2, 16, 4096
+RINGS = 8
 BLOCK = 2048
 QUERIES = 256
-#: Bounds are kept apart from ties by more than rounding can move them.
-EPS = 1e-9
+#: Annuli that a query takes up in the first round, and by how many times more in each further one.
+FIRST, MORE = 4, 4
+#: Queries of like distance that share a run of vectors.
+TOGETHER = 16
+#: Distances are kept apart by more than rounding can move them, as a share of the common length.
+EPS = 1e-6
 
 
 def integers(rows: DataFrame) -> DataFrame:
@@ -82,8 +95,7 @@ class Pivots:
         return np.hstack([v.astype(np.float64), np.sqrt(np.maximum(self.most - sq, 0).astype(np.float64))[:, None]])
 
     def distances(self, v: np.ndarray, sq: np.ndarray) -> np.ndarray:
-        x = self.lengthen(v, sq)
-        return np.sqrt(np.maximum(((x[:, None, :] - self.spots[None]) ** 2).sum(2), 0))
+        return np.sqrt(np.maximum(2 * self.most - 2 * (self.lengthen(v, sq) @ self.spots.T), 0))
 
     def nearest(self, v: np.ndarray, sq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = np.concatenate([self.distances(v[i : i + 512], sq[i : i + 512]) for i in range(0, len(v), 512)]) if len(v) else np.zeros((0, len(self.spots)))
@@ -104,34 +116,51 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
 
 
-def _search(dim: int, k: int, salted: bool):
-    """Searches blocks of vectors for blocks of queries; rows are pairs of blocks."""
+def reach(most: int, gap: np.ndarray) -> np.ndarray:
+    """The highest inner product at a distance of `gap` or more: |q|^2 + |x|^2 - 2 q.x >= gap^2."""
+    return most - np.maximum(gap - EPS * most**0.5, 0) ** 2 / 2 + 1
+
+
+def _search(dim: int, k: int, most: int):
+    """Searches blocks of vectors for blocks of queries; rows are pairs of blocks. A row without a vec_id has the number of pairs compared."""
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                q_ids, q, least, ids, v = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in range(5))
-                scores = products(q.reshape(-1, dim), v.reshape(-1, dim))
+                q_ids, q, least, dq, ids, v, dx = (np.frombuffer(batch.column(c)[i].as_py(), np.float64 if c in (3, 6) else np.int64) for c in range(7))
+                q, v = q.reshape(-1, dim), v.reshape(-1, dim)
+                wide = np.sqrt(np.maximum(2 * (most + 1 - least.astype(np.float64)), 0)) + 2 * EPS * most**0.5
                 out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for row, own, floor in zip(scores, q_ids, least, strict=True):
-                    keep = np.flatnonzero((row >= floor) & (ids != own))
-                    keep = keep[best(row[keep], ids[keep], k)]
-                    out.append((np.full(len(keep), own), ids[keep], row[keep]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], schema=schema)
+                compared = 0
+                for lo in range(0, len(q_ids), TOGETHER):
+                    here = slice(lo, lo + TOGETHER)
+                    first, last = np.searchsorted(dx, [(dq[here] - wide[here]).min(), (dq[here] + wide[here]).max()])
+                    if first == last:
+                        continue
+                    compared += (last - first) * len(q_ids[here])
+                    some = ids[first:last]
+                    for row, own, floor in zip(products(q[here], v[first:last]), q_ids[here], least[here], strict=True):
+                        keep = np.flatnonzero((row >= floor) & (some != own))
+                        keep = keep[best(row[keep], some[keep], k)]
+                        out.append((np.full(len(keep), own), some[keep], row[keep]))
+                columns = [np.concatenate([x[c] for x in out]) if out else np.zeros(0, np.int64) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(columns[0], -1)), pa.array(np.append(columns[1], 0), mask=np.append(np.zeros(len(columns[1]), bool), True)), pa.array(np.append(columns[2], compared))], schema=schema)
 
     return run
 
 
-def _gather(names: list[str], more: str):
-    """Rows of a group as one row of bytes."""
+def _gather(names: list[str], more: str, by: str):
+    """Rows of a group as one row of bytes, in the order of a column."""
 
     def run(group: pa.Table) -> pa.Table:
         data = {more: group.column(more).slice(0, 1)}
+        order = np.argsort(group.column(by).to_numpy(), kind="stable")
         for n in names:
             c = group.column(n).combine_chunks()
-            data[n] = pa.array([(c.flatten() if pa.types.is_list(c.type) else c).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary())
+            x = (c.flatten() if pa.types.is_list(c.type) else c).to_numpy(zero_copy_only=False)
+            x = x.reshape(len(order), -1)[order]
+            data[n] = pa.array([(x if x.dtype == np.float64 else x.astype(np.int64)).tobytes()], pa.binary())
         return pa.table(data)
 
     return run
@@ -142,25 +171,28 @@ def top(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def top_k(rows: DataFrame, every: int = 100, k: int = K, pivots: int = PIVOTS, rings: int = RINGS, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def top_k(rows: DataFrame, every: int = 100, k: int = K, pivots: int | None = None, rings: int = RINGS, sample: int | None = None, block: int = BLOCK, figures: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) for each query, a row whose vec_id is divisible by `every`.
 
     Candidates are all rows with another vec_id; ties go to the smaller vec_id.
     Fewer than k candidates give as many ranks; an empty table gives no rows.
+    Vectors that are null or hold null or non-finite components take no part.
     Vectors of another dimension than the most common one raise an error. A
     vec_id that is repeated counts as so many candidates; its first row in
-    order of its components is the query. Other columns are ignored.
+    order of its components is the query. Other columns are ignored. figures
+    gets the number of pairs compared, of pairs of queries and vectors, pivots
+    and rounds.
     """
     spark = rows.sparkSession
     vectors = materialize(integers(rows.select("vec_id", "embedding")))
-    stats = vectors.agg(F.max("sq"), F.min(F.size("v")), F.max(F.size("v"))).first()
+    count, most, shortest, dim = vectors.agg(F.count("*"), F.max("sq"), F.min(F.size("v")), F.max(F.size("v"))).first()
     schema = "query_id long, rank int, vec_id long, score long"
-    if stats[0] is None:
+    if not count:
         return spark.createDataFrame([], schema)
-    most, dim = int(stats[0]), int(stats[2])
-    if stats[1] != dim:
-        raise ValueError(f"vectors of {stats[1]} and of {dim} components")
-    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    if shortest != dim:
+        raise ValueError(f"vectors of {shortest} and of {dim} components")
+    pivots = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, int(count**0.5 / ROOT_SHARE)))
+    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample or max(LEAST_SAMPLE, SAMPLE_EACH * pivots)).toArrow()
     index = Pivots(matrix(chosen.column("v"), dim), chosen.column("sq").to_numpy(), most, pivots, rings)
     n_annuli = len(index.spots) * rings
 
@@ -174,53 +206,61 @@ def top_k(rows: DataFrame, every: int = 100, k: int = K, pivots: int = PIVOTS, r
     # n_annuli rows, whatever the input
     about = keyed.groupBy("annulus").agg(F.count("*").alias("n"), F.min("d").alias("near"), F.max("d").alias("far")).toPandas()
     n, near, far = np.zeros(n_annuli, np.int64), np.full(n_annuli, np.inf), np.full(n_annuli, -np.inf)
-    for row in about.itertuples():
-        n[row.annulus], near[row.annulus], far[row.annulus] = row.n, row.near, row.far
+    n[about["annulus"]], near[about["annulus"]], far[about["annulus"]] = about["n"], about["near"], about["far"]
 
     blocks_of = F.array(*[F.lit(int(-(-x // block)) or 1) for x in n])
     dealt = keyed.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.get(blocks_of, F.col("annulus"))) * n_annuli + F.col("annulus"))
-    index_blocks = dealt.select("block", F.col("vec_id").alias("ids"), "v", "annulus").groupBy("block").applyInArrow(_gather(["ids", "v"], "annulus"), "annulus long, ids binary, v binary")
+    index_blocks = dealt.select("block", F.col("vec_id").alias("ids"), "v", "annulus", F.col("d").alias("dx")).groupBy("block").applyInArrow(_gather(["ids", "v", "dx"], "annulus", "dx"), "annulus long, ids binary, v binary, dx binary")
     index_blocks = materialize(index_blocks)
 
     queries = keyed.where(F.col("vec_id") % every == 0)
-    queries = queries.groupBy("vec_id").agg(F.min(F.struct("v", "sq", "annulus")).alias("q")).select("vec_id", "q.*")
+    queries = materialize(queries.groupBy("vec_id").agg(F.min(F.struct("v", "sq")).alias("q")).select("vec_id", "q.*"))
+    n_queries = queries.count()
+    lowest = -(1 << 62)
+
+    def annuli(begin: int, end: int):
+        """Of each query's annuli in falling order of what they can reach, those at places begin to end that reach its floor."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    b = whole.slice(at, 1024)
+                    to_pivots = index.distances(matrix(b.column(1), dim), b.column(2).to_numpy())
+                    d = np.repeat(to_pivots, rings, axis=1)
+                    can = reach(most, np.maximum(np.maximum(near[None] - d, d - far[None]), 0))
+                    can[:, n == 0] = -np.inf
+                    order = np.argsort(-can, axis=1, kind="stable")[:, begin:end]
+                    i, j = np.nonzero(np.take_along_axis(can, order, 1) >= np.maximum(b.column(3).to_numpy(), lowest)[:, None])
+                    a, take = order[i, j], pa.array(i)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(3).take(take), pa.array(a, pa.int64()), pa.array(d[i, a])], names=["vec_id", "v", "floor", "annulus", "dq"])
+
+        return run
 
     def search(asked: DataFrame) -> DataFrame:
-        """asked: (vec_id, v, floor, annulus). Queries meet the vectors of the annuli that they ask for."""
+        """asked: (vec_id, v, floor, annulus, dq). Queries meet the vectors of the annuli that they ask for."""
         many = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(max(1, n_queries // QUERIES))) * n_annuli + F.col("annulus")
-        packed = asked.select(F.col("vec_id").alias("q_ids"), F.col("v").alias("q"), "floor", "annulus", many.alias("many"))
-        packed = packed.groupBy("many").applyInArrow(_gather(["q_ids", "q", "floor"], "annulus"), "annulus long, q_ids binary, q binary, floor binary")
-        pairs = packed.join(index_blocks, "annulus").select("q_ids", "q", "floor", "ids", "v")
-        return top(pairs.mapInArrow(_search(dim, k, True), "query_id long, vec_id long, score long"), k)
-
-    n_queries = queries.count()
-    if not n_queries:
-        return spark.createDataFrame([], schema)
-    lowest = -(1 << 63)
-    first = materialize(search(queries.select("vec_id", "v", F.lit(lowest).alias("floor"), "annulus")))
-    floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
-    asked = queries.join(floors, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(lowest)))
-
-    def annuli(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The other annuli that may hold a score of at least the floor."""
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v, sq = matrix(b.column(1), dim), b.column(2).to_numpy()
-            home, floor = b.column(3).to_numpy(), b.column(4).to_numpy()
-            d = np.repeat(index.distances(v, sq), rings, axis=1)
-            gap = np.maximum(np.maximum(near[None] - d, d - far[None]), 0)
-            # |q|^2 + M - 2 q.x >= gap^2 for all x of the annulus, so that q.x is at most this
-            reach = (2 * most - (gap * (1 - EPS)) ** 2) / 2 + EPS * most + 1
-            ask = (reach >= floor[:, None]) & (n[None] > 0)
-            ask[np.arange(len(home)), home] = False
-            i, a = np.nonzero(ask)
-            take = pa.array(i)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), b.column(4).take(take), pa.array(a, pa.int64())], names=["vec_id", "v", "floor", "annulus"])
-
-    wider = asked.select("vec_id", "v", "sq", "annulus", "floor").mapInArrow(annuli, "vec_id long, v array<long>, floor long, annulus long")
-    found = first.select("query_id", "vec_id", "score").unionByName(search(wider).select("query_id", "vec_id", "score"))
-    return top(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        packed = asked.select(F.col("vec_id").alias("q_ids"), F.col("v").alias("q"), "floor", "annulus", "dq", many.alias("many"))
+        packed = packed.groupBy("many").applyInArrow(_gather(["q_ids", "q", "floor", "dq"], "annulus", "dq"), "annulus long, q_ids binary, q binary, floor binary, dq binary")
+        pairs = packed.join(index_blocks, "annulus").select("q_ids", "q", "floor", "dq", "ids", "v", "dx")
+        return pairs.mapInArrow(_search(dim, k, most), "query_id long, vec_id long, score long")
+
+    found = spark.createDataFrame([], "query_id long, vec_id long, score long, rank int")
+    compared = begin = rounds = 0
+    step = FIRST
+    while n_queries and begin < n_annuli:
+        floors = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+        open_ = queries.join(floors, "vec_id", "left").select("vec_id", "v", "sq", F.coalesce("floor", F.lit(lowest)).alias("floor"))
+        asked = open_.mapInArrow(annuli(begin, begin + step), "vec_id long, v array<long>, floor long, annulus long, dq double")
+        new = materialize(search(asked))
+        pairs = new.where("vec_id IS NULL").agg(F.sum("score")).first()[0]
+        if pairs is None:
+            # the bounds fall from here on, and k-th scores no more
+            break
+        compared, begin, step, rounds = compared + pairs, begin + step, step * MORE, rounds + 1
+        found = materialize(top(found.select("query_id", "vec_id", "score").unionByName(new.where("vec_id IS NOT NULL")), k))
+    if figures is not None:
+        figures.update(compared=compared, pairs=n_queries * count, pivots=len(index.spots), rounds=rounds)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 #: The same over all pairs, for DuckDB.
