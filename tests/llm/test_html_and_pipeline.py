@@ -152,7 +152,7 @@ def test_pipeline_stages(spark, sf_dir):
         want = {
             "quality": lambda d: quality.quality(d).where("kept"),
             "toxicity": lambda d: toxicity.toxicity(d, labels).where("predicted = 0"),
-            "near_dedup": lambda d: simhash.near_duplicates(d).where("doc_id = component_id"),
+            "near_dedup": lambda d: simhash.near_duplicates(d, shingle=5, distance=7, segments=8).where("doc_id = component_id"),
         }[name](docs)
         kept = stage(spark, docs, sf_dir)
         assert kept.columns == docs.columns
@@ -162,3 +162,31 @@ def test_pipeline_stages(spark, sf_dir):
     assert ids(pieces.select("doc_id").distinct()) == ids(docs)
     whole = pieces.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
     assert all(r[1] == r[2] for r in whole)
+
+
+def test_pipeline_of_odd_tables(spark, odd_docs, tmp_path):
+    """Nulls, blanks, repeats, clashing names and an empty table go through all stages."""
+    labels = spark.createDataFrame([(1, 0, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", odd_docs), ("none", odd_docs.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        pieces = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert {r.doc_id for r in pieces} <= {5}
+        if name == "none":
+            assert not pieces
+
+
+def test_near_copies_of_five_words(spark):
+    """The stage links texts that differ in a few words, and keeps the least id of each group."""
+    rng = random.Random(3)
+    say = lambda n: [rng.choice("amber birch cedar dune ember fjord glade heath islet knoll".split()) + str(rng.randint(0, 400)) for _ in range(n)]
+    rows, originals = [], []
+    for i in range(12):
+        words = say(900)
+        originals.append(2 * i)
+        other = list(words)
+        other[450] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == originals

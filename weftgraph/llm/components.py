@@ -8,27 +8,41 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
+#: A node of more neighbours than this is a hub.
+HUB = 100_000
+
+
+def _meet(edges: DataFrame, about: DataFrame) -> DataFrame:
+    """edges with the m of their u; about: (u, m, n) with the number n of neighbours."""
+    hubs = materialize(about.where(F.col("n") > HUB).select("u", "m"))
+    if hubs.isEmpty():
+        return edges.join(about.select("u", "m"), "u")
+    few = F.broadcast(hubs)
+    rest = edges.join(few.select("u"), "u", "left_anti").join(about.where(F.col("n") <= HUB).select("u", "m"), "u")
+    return rest.unionByName(edges.join(few, "u"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node that has an edge; root is the component's least node.
 
     edges: two columns of one orderable type, any direction, repeats and loops
     allowed. Alternates large-star and small-star steps, which need O(log^2 n)
     rounds; each round is written, so that a lost executor costs one round. A
-    node with very many neighbours is met by partial aggregation and by joins
-    that adaptive execution can split, never by gathering its neighbours.
+    node of more than HUB neighbours meets them by a broadcast: there are fewer
+    such nodes than edges / HUB, so one key never holds a task's whole join.
     """
     a, b = edges.columns
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = materialize(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         # large star: neighbours above u hang on the least of u's neighbourhood
-        large = now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        large = _meet(now.select(F.col("v").alias("u"), F.col("u").alias("w")), least).select(F.col("w").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # small star: neighbours below u, and u, hang on the least of those
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _meet(large, low)
         after = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         after = materialize(after.where("u <> v").distinct())
         still = after.select("u").intersect(after.select("v")).limit(1)

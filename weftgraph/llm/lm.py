@@ -35,10 +35,13 @@ BLOCK_DOCS = 20_000
 FOLDS, HELD_OUT = 5, 1
 #: One training document in so many is held out of the counts on which the weights are learned.
 DEV_ONE_IN = 10
-BUCKETS = 24
+#: Powers of two of a context's frequency, beyond any corpus.
+BUCKETS = 64
 ROUNDS = 60
-#: Ratios of probabilities are gathered in steps of 1/STEPS of a power of two.
-STEPS = 4
+#: To learn the weights, ratios of probabilities are gathered in steps of 1/STEPS of a power of two (2% off at most).
+STEPS = 16
+#: Codes of ratios: so many bits each, with the ratio one in the middle.
+CODE_BITS = 12
 BEGIN, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -75,6 +78,11 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def check_of(words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Tells other keys from these: totals are given in the order of the keys, so they must be of the same ones."""
+    return np.array([xxh64_intdigest(words.tobytes()), xxh64_intdigest(pairs.tobytes())], np.uint64)
+
+
 def fold(doc_id: int | None) -> tuple[bool, bool]:
     """(held out, dev) of a document."""
     held = crc_of_id(doc_id) % FOLDS == HELD_OUT
@@ -127,7 +135,7 @@ class Block:
         cut2 = np.searchsorted(part_of(keys2, parts), np.arange(parts + 1))
         for p in np.flatnonzero((np.diff(cut1) > 0) | (np.diff(cut2) > 0)).tolist():
             a, b = slice(cut1[p], cut1[p + 1]), slice(cut2[p], cut2[p + 1])
-            yield p, pack(k1=squeeze(self.keys[a]), n1=n1[a], k2=squeeze(keys2[b]), n2=n2[b])
+            yield p, pack(k1=squeeze(self.keys[a]), n1=n1[a], k2=squeeze(keys2[b]), n2=n2[b], check=check_of(self.keys[a], keys2[b]))
 
     def itself(self) -> bytes:
         ids = np.array([0 if i is None else i for i in self.ids], np.int64)
@@ -137,8 +145,9 @@ class Block:
 def blocks(docs: DataFrame, parts: int, dev: bool | None, counts: bool) -> DataFrame:
     """(block, dev, part, data): requests of the blocks to the owners, or the blocks themselves (part -1).
 
-    Blocks are made the same way each time, as the splits of the input and the
-    order within are the same; dev documents have blocks of their own.
+    Blocks are made the same way each time, as scores() sees to it that the
+    splits of the input and the order within are the same; dev documents have
+    blocks of their own.
     """
     schema = pa.schema([("block", pa.int64()), ("dev", pa.bool_()), ("part", pa.int32()), ("data", pa.binary())])
 
@@ -188,7 +197,7 @@ def answer(group: pa.Table) -> pa.Table:
     """An owner's totals for each block, and a row (block -1) with its sums over all words."""
     block, dev, part = (group.column(c).to_pylist() for c in ("block", "dev", "part"))
     asked = [unpack(x.as_py()) for x in group.column("data")]
-    out: list[dict[str, np.ndarray]] = [{} for _ in asked]
+    out: list[dict[str, np.ndarray]] = [{"check": x["check"]} for x in asked]
     sums = (0, 0, 0, 0)
     for k, n in (("k1", "n1"), ("k2", "n2")):
         keys = [unsqueeze(x[k]) for x in asked]
@@ -226,14 +235,21 @@ def restore(group: pa.Table) -> tuple[dict[str, np.ndarray], dict[str, np.ndarra
     part = np.array(group.column("part").to_pylist())
     data = group.column("data")
     own = unpack(data[int(np.flatnonzero(part < 0)[0])].as_py())
-    got = [unpack(data[int(i)].as_py()) for i in np.argsort(part) if part[i] >= 0]
+    order = [int(i) for i in np.argsort(part) if part[i] >= 0]
+    got = [unpack(data[i].as_py()) for i in order]
     totals = {k: np.concatenate([x[k] for x in got]).astype(np.int64) for k in ("all1", "dev1", "all2", "dev2")}
     own["keys"] = unsqueeze(own["keys"])
     block = Block()
     block.lens, block.all = own["lens"], own["keys"][own["index"]]
     distinct, index = np.unique(block.pairs(), return_inverse=True)
-    if len(totals["all1"]) != len(own["keys"]) or len(totals["all2"]) != len(distinct):
-        raise RuntimeError("the totals are of another block; the input's splits have changed")
+    at = [0, 0]
+    for x in got:
+        end = [at[0] + len(x["all1"]), at[1] + len(x["all2"])]
+        if (check_of(own["keys"][at[0] : end[0]], distinct[at[1] : end[1]]) != x["check"]).any():
+            raise RuntimeError("the totals are of another block: the input's rows came in another order")
+        at = end
+    if at != [len(own["keys"]), len(distinct)]:
+        raise RuntimeError("totals are missing: the input's rows came in another order")
     for k in ("all2", "dev2"):
         totals[k] = totals[k][index]
     first = np.zeros(len(block.all), bool)
@@ -250,7 +266,8 @@ def bucket(context: np.ndarray) -> np.ndarray:
 def ratio_code(p: np.ndarray, uniform: float) -> np.ndarray:
     """0 for probability zero, else the rounded logarithm of the ratio to uniform, above 0."""
     with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.clip(np.rint(np.log2(np.maximum(p, 1e-300) / uniform) * STEPS), -255, 767).astype(np.int64) + 256, 0)
+        middle = 1 << CODE_BITS - 1
+        return np.where(p > 0, np.clip(np.rint(np.log2(np.maximum(p, 1e-300) / uniform) * STEPS), 1 - middle, middle - 1).astype(np.int64) + middle, 0)
 
 
 def dev_codes(v: int, n: int) -> Callable[[pa.Table], pa.Table]:
@@ -260,7 +277,7 @@ def dev_codes(v: int, n: int) -> Callable[[pa.Table], pa.Table]:
         context = kept1[own["context"]]
         two = ratio_code(kept2 / np.maximum(context, 1), 1 / (v + 1))
         one = ratio_code(kept1[own["word"]] / max(n, 1), 1 / (v + 1))
-        codes, times = np.unique(bucket(context) << 20 | two << 10 | one, return_counts=True)
+        codes, times = np.unique(bucket(context) << 2 * CODE_BITS | two << CODE_BITS | one, return_counts=True)
         return pa.table({"code": pa.array(codes, pa.int64()), "times": pa.array(times, pa.int64())})
 
     return run
@@ -268,11 +285,11 @@ def dev_codes(v: int, n: int) -> Callable[[pa.Table], pa.Table]:
 
 def learn(codes: np.ndarray, times: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Weights of (pair, word, uniform) for each bucket by expectation-maximisation, from one pseudo-count each."""
-    at = codes >> 20
+    at = codes >> 2 * CODE_BITS
     p = np.ones((len(codes), 3))
-    for i, shift in ((0, 10), (1, 0)):
-        c = codes >> shift & 1023
-        p[:, i] = np.where(c > 0, 2.0 ** ((c - 256) / STEPS), 0)
+    for i, shift in ((0, CODE_BITS), (1, 0)):
+        c = codes >> shift & (1 << CODE_BITS) - 1
+        p[:, i] = np.where(c > 0, 2.0 ** ((c - (1 << CODE_BITS - 1)) / STEPS), 0)
     weights = np.full((BUCKETS, 3), 1 / 3)
     for _ in range(rounds):
         share = weights[at] * p
@@ -303,15 +320,24 @@ def scorer(v: int, n: int, weights: np.ndarray) -> Callable[[pa.Table], pa.Table
     return run
 
 
-def scores(docs: DataFrame) -> DataFrame:
+def replayable(docs: DataFrame) -> DataFrame:
+    """doc_id and text in an order that a task run anew finds again: a scan's, or that of a checkpoint where rows were exchanged."""
+    rows = docs.select("doc_id", "text")
+    return materialize(rows) if "Exchange" in rows._jdf.queryExecution().executedPlan().toString() else rows
+
+
+def scores(docs: DataFrame, figures: dict | None = None) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Logarithms are to base 10. A null text is the end token alone; repeated rows
     count and are scored each. A null doc_id trains. Without training documents
-    all words are unknown; an empty table gives no rows.
+    all words are unknown; an empty table gives no rows. Texts of any length are
+    taken whole; other columns are ignored. figures gets the weights, and the
+    number of distinct and of all training tokens.
     """
     spark = docs.sparkSession
-    splits = docs.select("doc_id", "text").rdd.getNumPartitions()
+    docs = replayable(docs)
+    splits = docs.rdd.getNumPartitions()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * splits)
     asked = blocks(docs, parts, None, True).repartition(parts, "part")
     answers = materialize(asked.groupBy("part").applyInArrow(answer, _ANSWER))
@@ -319,8 +345,10 @@ def scores(docs: DataFrame) -> DataFrame:
     columns = ["block", "part", "data"]
     dev = blocks(docs, parts, True, False).select(columns).unionByName(answers.where("block >= 0 and dev").select(columns))
     codes = dev.groupBy("block").applyInArrow(dev_codes(v_kept, n_kept), "code long, times long").groupBy("code").agg(F.sum("times").alias("times"))
-    # at most BUCKETS * 1024 * 1024 codes, in fact some thousands: a table of ratios, not of documents
+    # a table of rounded ratios, not of documents: some ten thousand codes, which the range of ratios bounds
     found = codes.toPandas()
     weights = learn(found["code"].to_numpy(np.int64), found["times"].to_numpy(np.int64))
+    if figures is not None:
+        figures.update(weights=weights, distinct=v, tokens=n)
     rows = blocks(docs, parts, None, False).select(columns).unionByName(answers.where("block >= 0").select(columns))
     return rows.groupBy("block").applyInArrow(scorer(v, n, weights), _SCORE)

@@ -36,6 +36,8 @@ SHINGLE = 3
 SEED = 42
 #: A key with more fingerprints than this is keyed anew on its open bits.
 BUCKET = 512
+#: Tasks over which the fingerprints of one component are dealt.
+SALTS = 32
 _STEP = 4096
 
 
@@ -55,11 +57,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): the fingerprint of each row's whole text as a signed 64-bit number."""
 
     def make():
-        return lambda texts: {"fp": np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)}
+        return lambda texts: {"fp": np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)}
 
     return map_texts(docs, make, "fp long")
 
@@ -203,35 +205,40 @@ def links(fps: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, bu
     return found
 
 
-def groups(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+def groups(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, bucket: int = BUCKET, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of each row, and (fp, root, component_id) of each fingerprint; root is the component's least fingerprint."""
-    of_doc = materialize(fingerprints(docs))
+    of_doc = materialize(fingerprints(docs, shingle))
     distinct = materialize(of_doc.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(distinct.select("fp"), distance, segments, bucket))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return of_doc, rooted.join(ids, "root").select("fp", "root", "component_id")
+    roots = materialize(connected_components(links(distinct.select("fp"), distance, segments, bucket)).withColumnRenamed("node", "fp"))
+    ids = roots.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    # a component of very many fingerprints meets its id in SALTS tasks
+    ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = roots.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(ids, ["root", "salt"]).select("fp", "root", "component_id")
+    named = distinct.join(linked, "fp", "left")
+    return of_doc, named.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, bucket: int = BUCKET, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row.
 
     component_id is the least doc_id reachable over links, the row's own
     included. Null and blank texts have fingerprint zero and link like others.
     Repeated rows each get a row. Rows with a null doc_id take part; they get
-    the least id of their component, null if it has none.
+    the least id of their component, null if it has none. Texts of any length
+    are taken whole. An empty table gives no rows. Other columns, whatever their
+    names, are ignored.
     """
-    of_doc, named = groups(docs, distance, segments, bucket)
+    of_doc, named = groups(docs, distance, segments, bucket, shingle)
     return of_doc.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+def with_fingerprint(docs: DataFrame, name: str, shingle: int = SHINGLE) -> DataFrame:
     """The rows with all their columns and their fingerprints."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, shingle) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
@@ -252,7 +259,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     unclear = kept.where("_id IS NULL OR _again").select("_id")
     if unclear.isEmpty():
         return out
-    rows = with_fingerprint(docs.join(unclear, docs["doc_id"].cast("long").eqNullSafe(unclear["_id"]), "left_semi"), "_simhash")
+    rows = with_fingerprint(docs.join(unclear, docs["doc_id"].cast("long").eqNullSafe(unclear["_id"]), "left_semi"), "_simhash", options.get("shingle", SHINGLE))
     about = named.select(F.col("fp").alias("_simhash"), F.col("root").alias("_root"), F.col("component_id").alias("_component"))
     rows = rows.join(about, "_simhash").where(F.col("doc_id").cast("long").eqNullSafe(F.col("_component")))
     first = rows.groupBy("_root").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct("_simhash", F.xxhash64("text"))).alias("_row"))
