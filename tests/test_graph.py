@@ -103,7 +103,8 @@ def test_impact_and_structure(spark, nodes, edges):
     assert names(graph.packages(nodes), "package") == ["test.src", "test.src.a", "test.src.b"]
     report = graph.architecture(nodes, edges)
     assert report["hotspots"].first()["qualified"] == "test.src.a.main"
-    assert report["clusters"].count() == 1
+    assert {r.cluster for r in report["clusters"].collect()} == {"test.src"}
+    assert report["clusters"].count() == 6
     assert graph.both_ends(nodes, edges).count() == 7
     assert {r.direction for r in graph.neighbourhood(nodes, edges, 1).collect()} == {"out"}
     assert names(graph.search_code(nodes, "HELPER")) == ["helper"]
@@ -217,7 +218,7 @@ def test_upsert_and_prune(spark, nodes, edges):
 
 def test_every_query_has_a_name_and_sql():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"hybrid_search", "embedding_index"}
+    assert set(QUERIES) - set(SQL) == {"hybrid_search"}
 
 
 def test_hybrid_search_ranks_all_code(spark, sf_dir, monkeypatch):
@@ -228,3 +229,18 @@ def test_hybrid_search_ranks_all_code(spark, sf_dir, monkeypatch):
     nodes, index = given[0]
     want = {r.id for r in demo_graph.nodes(spark, sf_dir).collect() if r.label in schema.CODE_LABELS}
     assert {r.id for r in nodes.collect()} == want == {r.node_id for r in index.select("node_id").collect()}
+
+
+def test_cypher_is_not_read_past(nodes, edges):
+    """Clauses that are not supported raise, unless asked to be passed over; DISTINCT counts once."""
+    with pytest.raises(cypher.CypherError):
+        cypher.query(nodes, edges, "MATCH (a:Function) WITH a LIMIT 1 RETURN a.name")
+    assert cypher.query(nodes, edges, "MATCH (a:Function) WITH a LIMIT 1 RETURN a.name", lenient=True).count() == 3
+    assert cypher.query(nodes, edges, "MATCH (a) RETURN COUNT(DISTINCT a.label) AS n").first()["n"] == 3
+
+
+def test_walks_begin_at_their_sources(spark, edges):
+    calls = edges.where("type = 'CALLS'")
+    all_pairs = {(r.src, r.dst) for r in graph.reach(calls, 1, 3).collect()}
+    some = graph.reach(calls, 1, 3, sources=spark.createDataFrame([(4,)], "id long"))
+    assert {(r.src, r.dst) for r in some.collect()} == {p for p in all_pairs if p[0] == 4} != set()

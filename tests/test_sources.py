@@ -200,6 +200,16 @@ def test_scan_and_index(spark, tmp_path):
     assert [(r.path, r.lang) for r in found] == [("src/main.py", "python")]
 
 
+def test_nested_ignore_files(spark, tmp_path):
+    """A folder's rules hold below it alone; folders that are never read are not listed."""
+    for path in ("a/x.py", "a/gen.py", "b/gen.py", "b/deep/gen.ts", "env/e.py", ".gradle/g.java", "a/.gitignore"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("gen.*\n" if path.endswith("ignore") else "")
+    assert files.walk(spark, str(tmp_path)) == ["a/x.py", "b/deep/gen.ts", "b/gen.py", "env/e.py"]
+    assert sorted(r.path for r in files.scan(spark, str(tmp_path), "p", ["b/deep/"]).collect()) == ["a/x.py", "b/gen.py", "env/e.py"]
+    assert files.scan(spark, str(tmp_path), "p", ["*.py", "*.ts"]).count() == 0
+
+
 def test_snapshots(spark, tmp_path):
     t = snapshot.empty(spark)
     row = lambda i, name, file, project: (i, project, file, 1, 0, 2, 0, "Function", name, f"{project}.{name}", None, None)

@@ -158,10 +158,10 @@ def search_text(nodes: DataFrame, text: str, limit: int = 50) -> DataFrame:
 # Lexical signals
 
 
-def corpus_tokens(nodes: DataFrame) -> DataFrame:
-    """(id, terms): identifier words of name, qualified name, signature and doc, longer than one letter."""
+def corpus_tokens(nodes: DataFrame, *more: Column) -> DataFrame:
+    """(id, terms): identifier words of name, qualified name, signature and doc, longer than one letter; and more columns."""
     terms = split_identifier(F.concat_ws(" ", "name", "qualified", "signature", "doc"))
-    return nodes.select("id", F.filter(terms, lambda x: F.length(x) > 1).alias("terms"))
+    return nodes.select("id", F.filter(terms, lambda x: F.length(x) > 1).alias("terms"), *more)
 
 
 def doc_frequency(corpus: DataFrame) -> DataFrame:
@@ -174,17 +174,45 @@ def idf(corpus: DataFrame) -> DataFrame:
     return doc_frequency(corpus).join(F.broadcast(n), F.lit(True)).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def greatest_frequency(terms: Column) -> Column:
+    """How often the most frequent term of an array occurs."""
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(s["last"] == x, s["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(s["most"], run).alias("most"))
+
+    return F.aggregate(F.array_sort(terms), start, step, lambda s: s["most"])
+
+
+def _count_of(word: str) -> Column:
+    return F.size(F.filter("terms", lambda x: x == word))
+
+
+def _with_tfidf(corpus: DataFrame, words: Sequence[str]) -> DataFrame:
+    """corpus with `tfidf`, null where none of the words occurs. What meets every node is one row: N and the words' df."""
+    asked = list(dict.fromkeys(words))
+    if not asked:
+        return corpus.withColumn("tfidf", F.lit(None).cast("double"))
+    sums = [F.count("*").alias("_n"), *[F.count(F.when(F.array_contains("terms", w), 1)).alias(f"_df{i}") for i, w in enumerate(asked)]]
+    rows = corpus.join(F.broadcast(corpus.select("terms").agg(*sums)), F.lit(True))
+    weight = F.lit(0.0)
+    for i, w in enumerate(asked):
+        weight = weight + F.lit(words.count(w)) * _count_of(w) / F.col("_most") * (F.log((F.col("_n") + 1) / (F.col(f"_df{i}") + 1)) + 1)
+    hit = F.arrays_overlap("terms", F.array(*[F.lit(w) for w in asked]))
+    return rows.withColumn("_most", F.when(hit, greatest_frequency(F.col("terms")))).withColumn("tfidf", F.when(hit, weight)).select(*corpus.columns, "tfidf")
+
+
+def query_words(text: str) -> list[str]:
+    return [w for w in split_identifier_text(text) if len(w) > 1]
+
+
 def tfidf(corpus: DataFrame, text: str) -> DataFrame:
-    """(id, tfidf): for each word of the text, repeats too, tf / greatest tf of the node * idf. Nodes without any are left out."""
-    q = [w for w in split_identifier_text(text) if len(w) > 1]
-    spark = corpus.sparkSession
-    if not q:
-        return spark.createDataFrame([], "id long, tfidf double")
-    asked = spark.createDataFrame([(w, q.count(w)) for w in dict.fromkeys(q)], "term string, times int")
-    tf = corpus.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    most = tf.groupBy("id").agg(F.max("tf").alias("most"))
-    hit = tf.join(F.broadcast(asked), "term").join(most, "id").join(idf(corpus).select("term", "idf"), "term")
-    return hit.groupBy("id").agg(F.sum(F.col("times") * F.col("tf") / F.col("most") * F.col("idf")).alias("tfidf"))
+    """(id, tfidf): for each word of the text, repeats too, tf / greatest tf of the node * idf. Nodes without any are left out.
+
+    No term of the corpus is shuffled.
+    """
+    return _with_tfidf(corpus, query_words(text)).where("tfidf IS NOT NULL").select("id", "tfidf")
 
 
 def module_proximity(query_module: Column, qualified: Column) -> Column:
@@ -214,12 +242,11 @@ WEIGHTS = {"tfidf": 0.30, "proximity": 0.15, "signature": 0.10, "profile": 0.05}
 
 def signals(nodes: DataFrame, text: str, project: str) -> DataFrame:
     """(id, tfidf, proximity, signature, profile) of every node."""
-    corpus = corpus_tokens(nodes)
-    q = F.array(*[F.lit(w) for w in split_identifier_text(text) if len(w) > 1]).cast("array<string>")
-    lexical = nodes.select("id", module_proximity(F.lit(project), F.col("qualified")).alias("proximity"), jaccard(q, split_identifier("signature")).alias("signature"))
-    profile = corpus.select("id", overlap(q, F.col("terms")).alias("profile"))
-    out = lexical.join(profile, "id").join(tfidf(corpus, text), "id", "left")
-    return out.select("id", F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"), "proximity", "signature", "profile")
+    words = query_words(text)
+    q = F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    about = (module_proximity(F.lit(project), F.col("qualified")).alias("proximity"), jaccard(q, split_identifier("signature")).alias("signature_overlap"))
+    corpus = corpus_tokens(nodes, *about)
+    return _with_tfidf(corpus, words).select("id", F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"), "proximity", F.col("signature_overlap").alias("signature"), overlap(q, F.col("terms")).alias("profile"))
 
 
 def normalize(df: DataFrame, columns: Sequence[str]) -> DataFrame:

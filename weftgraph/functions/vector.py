@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut, small
 from ..schema import CODE_LABELS
 from . import text as T
 
 DIM = 256
 VECTOR_WEIGHT, TEXT_WEIGHT = 0.55, 0.30
-#: A strategy turns a text column into a vector column.
-Strategy = Callable[[Column], Column]
+#: A strategy turns a table, the name of its id and a text column into (id, vec).
+Strategy = Callable[[DataFrame, str, Column], DataFrame]
 
 
 def hash32(c: Column) -> Column:
@@ -65,28 +66,33 @@ def round4(c: Column) -> Column:
     return F.floor(c * 10000 + 0.5) / 10000
 
 
-def contributions(words: Column) -> Column:
-    """An array of (index, weight): each word by its length, each pair of neighbouring letters by a half."""
-    pairs = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > 1, F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))))
-    # an index is even where its hash is
-    at = lambda w: F.pmod(hash32(w), F.lit(DIM)).cast("int")
-    weigh = lambda w, size: F.get(F.transform(F.array(at(w)), lambda i: F.struct(i.alias("i"), F.when(i % 2 == 0, size).otherwise(-size).alias("w"))), F.lit(0))
-    of_words = F.transform(words, lambda w: weigh(w, (F.lit(1.0) + F.least(F.length(w), F.lit(4)).cast("double"))))
-    return F.concat(of_words, F.transform(pairs, lambda g: weigh(g, F.lit(0.5))))
+def grams(df: DataFrame, id: str, text: Column) -> DataFrame:
+    """(id, g, size): each word of a text by its length, each pair of neighbouring letters by a half, added up."""
+    words = df.select(F.col(id).alias("id"), F.explode(T.split_identifier(text)).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
+    n = F.length("w")
+    each = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))
+    pairs = words.where(n > 1).select("id", F.explode(each).alias("g"), (F.col("n") * 0.5).alias("size"))
+    whole = words.select("id", F.col("w").alias("g"), (F.col("n") * (F.least(n, F.lit(4)) + 1.0)).alias("size"))
+    return whole.unionByName(pairs).groupBy("id", "g").agg(F.sum("size").alias("size"))
 
 
 def embed(df: DataFrame, id: str, text: Column) -> DataFrame:
     """(id, vec): the hashed vector of each text, of length one; a text without words gives zero.
 
+    A word or pair of letters is hashed once, however many texts hold it.
     Contributions are summed per index with partial aggregation, then laid out
     densely.
     """
-    rows = df.select(F.col(id).alias("id"), contributions(T.split_identifier(text)).alias("c"))
-    sums = rows.select("id", F.explode("c").alias("c")).groupBy("id", F.col("c.i").alias("i")).agg(F.sum("c.w").alias("w"))
-    # at most DIM entries a text
-    sparse = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.when(F.col("n") > 0, F.coalesce(F.col("m")[i], F.lit(0.0)) / F.col("n")).otherwise(0.0))
-    return df.select(F.col(id).alias("id")).distinct().join(sparse, "id", "left").select("id", dense.alias("vec"))
+    rows = grams(df, id, text)
+    hashed = small(cut(rows.select("g").distinct().select("g", hash32(F.col("g")).alias("h"))))
+    signed = F.when(F.col("h") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
+    sums = rows.join(hashed, "g").groupBy("id", (F.col("h") % DIM).cast("int").alias("i")).agg(F.sum(signed).alias("w"))
+    # at most DIM entries a text, laid out with zeros between them
+    sparse = sums.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
+    start = lambda j: F.when(j > 0, F.get("e", j - 1)["i"] + 1).otherwise(0)
+    filled = F.transform("e", lambda x, j: F.concat(F.array_repeat(F.lit(0.0), x["i"] - start(j)), F.array(F.when(F.col("n") > 0, x["w"] / F.col("n")).otherwise(0.0))))
+    dense = F.concat(F.flatten(filled), F.array_repeat(F.lit(0.0), DIM - 1 - F.element_at("e", -1)["i"]))
+    return df.select(F.col(id).alias("id")).distinct().join(sparse, "id", "left").select("id", F.coalesce(dense, F.array_repeat(F.lit(0.0), DIM)).alias("vec"))
 
 
 def node_text() -> Column:
@@ -95,11 +101,11 @@ def node_text() -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def build_index(nodes: DataFrame, project: str | None = None) -> DataFrame:
-    """schema.EMBEDDINGS of the nodes with a name and a label of code."""
+def build_index(nodes: DataFrame, project: str | None = None, strategy: Strategy | None = None) -> DataFrame:
+    """schema.EMBEDDINGS of the nodes with a name and a label of code; strategy makes the vectors of (df, id, text), by default embed()."""
     mine = nodes if project is None else nodes.where(F.col("project") == project)
     used = mine.where(F.col("label").isin(*CODE_LABELS) & (F.trim("name") != ""))
-    return embed(used, "id", node_text()).join(used.select("id", "project"), "id").select(F.col("id").alias("node_id"), "project", quantize(F.col("vec")).alias("vec"))
+    return (strategy or embed)(used, "id", node_text()).join(used.select("id", "project"), "id").select(F.col("id").alias("node_id"), "project", quantize(F.col("vec")).alias("vec"))
 
 
 def query_vector(spark, text: str) -> list[float]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import glob_to_like
 from ..schema import CALL_TYPES, TRACE_TYPES
-from .lineage import cut
+from .lineage import cut, small
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -104,12 +104,13 @@ def trace_path(nodes: DataFrame, edges: DataFrame, name: str, direction: str = "
     reached = cut(start_node(nodes, name).select("id", F.lit(0).alias("d")))
     frontier = reached
     for d in range(1, depth):
-        new = frontier.select("id").join(steps, "id").select(F.col("next").alias("id")).distinct()
-        frontier = cut(new.join(reached, "id", "left_anti").select("id", F.lit(d).alias("d")))
+        new = steps.join(small(frontier.select("id")), "id").select(F.col("next").alias("id")).distinct()
+        frontier = cut(new.join(small(reached.select("id")), "id", "left_anti").select("id", F.lit(d).alias("d")))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
-    hops = reduce(DataFrame.unionByName, [reached.join(used, reached["id"] == used[w]).select((F.col("d") + 1).alias("depth"), "src", "dst", "type", "confidence", "site_line") for w in ways])
+    from_ = small(reached)
+    hops = reduce(DataFrame.unionByName, [used.join(from_, from_["id"] == used[w]).select((F.col("d") + 1).alias("depth"), "src", "dst", "type", "confidence", "site_line") for w in ways])
     called = F.coalesce("qualified", "name")
     a = nodes.select(F.col("id").alias("src"), called.alias("from"), "file")
     b = nodes.select(F.col("id").alias("dst"), called.alias("to"))
@@ -117,27 +118,34 @@ def trace_path(nodes: DataFrame, edges: DataFrame, name: str, direction: str = "
     return named.select("depth", F.coalesce("from", F.lit("?")).alias("from"), F.coalesce("to", F.lit("?")).alias("to"), "type", "confidence", F.coalesce("file", F.lit("")).alias("file"), "site_line")
 
 
-def reach(edges: DataFrame, low: int = 1, high: int = 5, type: str | None = None) -> DataFrame:
-    """(src, dst): pairs with a walk of low to high edges. Pairs are made distinct at each length; low 0 adds each end to itself."""
+def reach(edges: DataFrame, low: int = 1, high: int = 5, type: str | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """(src, dst): pairs with a walk of low to high edges. Pairs are made distinct at each length; low 0 adds each end to itself.
+
+    With sources (one column id) walks begin there only, so that nothing is made
+    of the others.
+    """
     steps = edges.where("src IS NOT NULL AND dst IS NOT NULL")
     if type is not None:
         steps = steps.where(F.col("type") == type)
     steps = cut(steps.select("src", "dst").distinct())
     level, kept = steps, []
+    if sources is not None:
+        starts = small(sources.select(F.col("id").alias("src")).distinct())
+        level = cut(steps.join(starts, "src", "left_semi"))
     for n in range(1, high + 1):
         if n > 1:
             level = cut(level.select("src", F.col("dst").alias("mid")).join(steps.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct())
         if n >= low:
             kept.append(level)
     if low == 0:
-        ends = steps.select(F.explode(F.array("src", "dst")).alias("src")).distinct()
+        ends = steps.select(F.explode(F.array("src", "dst")).alias("src")).distinct() if sources is None else starts
         kept.append(ends.select("src", F.col("src").alias("dst")))
     return reduce(DataFrame.unionByName, kept).distinct()
 
 
 def blast_radius(nodes: DataFrame, edges: DataFrame, changed_files: DataFrame) -> DataFrame:
     """Nodes of the changed files (one column `file`) and their neighbours over all edges: id, name, label, file, changed."""
-    changed = nodes.join(changed_files.select("file").distinct(), "file", "left_semi").select("id").distinct()
+    changed = small(nodes.join(small(changed_files.select("file").distinct()), "file", "left_semi").select("id").distinct())
     known = edges.where("src IS NOT NULL AND dst IS NOT NULL")
     out = known.join(changed.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id"))
     back = known.join(changed.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id"))
@@ -189,10 +197,10 @@ def clusters(nodes: DataFrame) -> DataFrame:
 
 
 def cluster_members(nodes: DataFrame) -> DataFrame:
-    """(cluster, names): the sorted names of each cluster."""
+    """(cluster, name): one row for each node, so that no cluster is gathered."""
     s = segments("qualified")
     cluster = F.when(F.size(s) > 2, F.concat_ws(".", s[0], s[1])).otherwise(s[0])
-    return nodes.groupBy(cluster.alias("cluster")).agg(F.sort_array(F.collect_list("name")).alias("names"))
+    return nodes.select(cluster.alias("cluster"), "name")
 
 
 def languages(nodes: DataFrame) -> DataFrame:

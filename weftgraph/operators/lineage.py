@@ -1,15 +1,35 @@
-"""Cutting lineage between the rounds of an iterative plan."""
+"""Cutting lineage between the rounds of an iterative plan, and broadcasts of a measured size."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of a few small columns up to which a table is sent to every task.
+SMALL = 200_000
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir, or a local one where that is unset."""
-    sc = df.sparkSession.sparkContext
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, a local one, which only a local master may have."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the folder of spark.checkpoint.dir."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """df, marked for broadcast if it has no more than so many rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import small
+
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), order: str = "updated_at") -> DataFrame:
     """Incoming rows replace those of the same keys; columns in `keep` stay as they were.
@@ -46,15 +48,19 @@ def prune(nodes: DataFrame, edges: DataFrame, files: DataFrame, gone: DataFrame)
 
     Edges from elsewhere into them stay as unresolved calls, to be resolved anew.
     """
-    at = gone.select("project", F.col("path").alias("file"))
-    lost = nodes.join(at, ["project", "file"], "left_semi").select("id")
+    at = small(gone.select("project", F.col("path").alias("file")).distinct())
+    lost = small(nodes.join(at, ["project", "file"], "left_semi").select("id").distinct())
     left = nodes.join(at, ["project", "file"], "left_anti").select(nodes.columns)
-    kept = edges.join(lost.withColumnRenamed("id", "src"), "src", "left_anti")
-    marked = kept.join(lost.select(F.col("id").alias("dst"), F.lit(True).alias("_lost")), "dst", "left")
+    kept = edges.join(renamed(lost, "src"), "src", "left_anti")
+    marked = kept.join(renamed(lost, "dst").withColumn("_lost", F.lit(True)), "dst", "left")
     out = marked.withColumn("dst", F.when(F.col("_lost").isNull(), F.col("dst"))).withColumn("confidence", F.when(F.col("_lost").isNull(), F.col("confidence")).otherwise("usage"))
     return left, out.select(edges.columns), files.join(gone, ["project", "path"], "left_anti").select(files.columns)
 
 
+def renamed(ids: DataFrame, name: str) -> DataFrame:
+    return ids.select(F.col("id").alias(name))
+
+
 def replace_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, new_nodes: DataFrame, new_edges: DataFrame, new_files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The tables after the files in new_files have been extracted anew."""
     n, e, f = prune(nodes, edges, files, new_files.select("project", "path"))

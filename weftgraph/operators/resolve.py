@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import EDGES, NODES
+from .lineage import cut
 
 BUCKET_LINES = 64
 # Names that a language knows without an import, and the prefix of their qualified names.
@@ -42,19 +43,40 @@ def resolve_identifiers(uses: DataFrame, symbols: DataFrame, imports: DataFrame)
     symbols: (project, path, name, qualified, ord); imports: (project, path,
     name, source, ord). A symbol is exact, an import a reference, or exact where
     a Java, Rust or C# import ends in the name; the last symbol and the first
-    import of a name count. Names found nowhere are of kind `none`.
+    import of a name count. A Java or Rust import of all names of a package, if
+    it stands before any import of the name itself, makes a reference into that
+    package. Names found nowhere are of kind `none`.
     """
     keys = ["project", "path", "name"]
     own = symbols.groupBy(*keys).agg(F.max_by("qualified", "ord").alias("_own"))
-    bound = imports.groupBy(*keys).agg(F.min_by("source", "ord").alias("_source"))
-    out = uses.join(own, keys, "left").join(bound, keys, "left").join(F.broadcast(builtins(uses.sparkSession)).withColumnRenamed("qualified", "_builtin"), ["lang", "name"], "left")
+    wild = F.col("source").rlike(r"(\.|::)\*$")
+    bound = imports.where(~wild).groupBy(*keys).agg(F.min_by("source", "ord").alias("_source"), F.min("ord").alias("_at"))
+    packages = imports.where(wild).groupBy("project", "path").agg(F.min_by("source", "ord").alias("_package"), F.min("ord").alias("_package_at"))
+    uses_ = uses.join(packages, ["project", "path"], "left")
+    out = uses_.join(own, keys, "left").join(bound, keys, "left").join(F.broadcast(builtins(uses.sparkSession)).withColumnRenamed("qualified", "_builtin"), ["lang", "name"], "left")
     script = F.col("lang").isin("javascript", "typescript")
     source = F.when(script & F.col("_source").startswith("."), import_path(F.col("_source"))).otherwise(F.col("_source"))
     exact = F.col("lang").isin("java", "rust", "csharp") & (last_segment(F.col("_source")) == F.col("name"))
-    kind = F.when(F.col("_own").isNotNull() | exact, "exact").when(F.coalesce("_source", "_builtin").isNotNull(), "reference").otherwise("none")
+    inside = F.col("lang").isin("java", "rust") & F.col("_package").isNotNull() & (F.col("_at").isNull() | (F.col("_package_at") < F.col("_at")))
+    source = F.when(inside, F.concat(F.regexp_replace("_package", r"\*$", ""), F.col("name"))).otherwise(source)
+    kind = F.when(F.col("_own").isNotNull() | exact & ~inside, "exact").when(inside | F.coalesce("_source", "_builtin").isNotNull(), "reference").otherwise("none")
     return out.select(*uses.columns, kind.alias("kind"), F.coalesce(F.col("_own"), source, F.col("_builtin")).alias("qualified"))
 
 
+def lookup(uses: DataFrame, entries: DataFrame) -> DataFrame:
+    """uses (project, path, name, sl, sc) with `qualified`: that of the entry whose scope is the innermost around the use; null for none.
+
+    entries: (project, path, name, qualified, sl, sc, el, ec, ord); the span is
+    that of the scope in which the name holds. Within a scope the last entry of
+    a name counts, and definitions come after imports.
+    """
+    keys = ["project", "path", "name"]
+    known = entries.select(*keys, "qualified", F.struct("sl", "sc").alias("_start"), F.struct(F.col("el").alias("sl"), F.col("ec").alias("sc")).alias("_end"), "ord")
+    pairs = uses.withColumn("_at", F.struct("sl", "sc")).join(known, keys, "left")
+    around = (F.col("_start") <= F.col("_at")) & (F.col("_at") < F.col("_end"))
+    return pairs.groupBy(*uses.columns).agg(F.max_by(F.when(around, F.col("qualified")), F.when(around, F.struct("_start", "ord"))).alias("qualified"))
+
+
 def enclosing(points: DataFrame, spans: DataFrame, keys: list[str], bucket: int = BUCKET_LINES) -> DataFrame:
     """points (keys, sl, sc, ...) with `inside`, the id of the innermost span (keys, sl, sc, el, ec, id) around each; null for none.
 
@@ -80,6 +102,8 @@ def build(files: DataFrame, emits: DataFrame) -> tuple[DataFrame, DataFrame]:
     several the last), else to the only one in the project; a call without a dot
     that resolves to nothing is dropped, one with a dot keeps an open end.
     """
+    # every part of the graph is made of these; extraction runs once
+    emits = cut(emits)
     null = F.lit(None).cast("string")
     last = F.size(F.split(F.coalesce("content", F.lit("")), "\n")) - 1
     file_rows = files.select("project", "path", F.lit(0).alias("sl"), F.lit(0).alias("sc"), last.alias("el"), F.lit(0).alias("ec"))

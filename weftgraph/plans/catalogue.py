@@ -145,6 +145,16 @@ cypher_query("cypher_group_count", "MATCH (a) RETURN a.label, COUNT(a.doc) AS do
 cypher_query("cypher_collect", "MATCH (a:Module)-[:MEMBER_OF]->(b:Package) RETURN b.name AS package, COLLECT(a.name) AS modules", "SELECT b.name AS package, string_agg(a.name, ',' ORDER BY a.name) AS modules FROM nodes a JOIN edges e ON e.src = a.id AND e.type = 'MEMBER_OF' JOIN nodes b ON b.id = e.dst WHERE a.label = 'Module' AND b.label = 'Package' GROUP BY b.name")
 cypher_query("cypher_sum_min_max", "MATCH (a) RETURN a.label, SUM(a.start_line) AS s, MIN(a.name) AS lo, MAX(a.name) AS hi", "SELECT label, CAST(sum(start_line) AS BIGINT) AS s, min(name) AS lo, max(name) AS hi FROM nodes GROUP BY label")
 cypher_query("cypher_order_skip", "MATCH (a:Class) RETURN DISTINCT a.name AS n, a.file ORDER BY n DESC SKIP 3 LIMIT 7", "SELECT DISTINCT name AS n, file FROM nodes WHERE label = 'Class' ORDER BY n DESC, file LIMIT 7 OFFSET 3")
+cypher_query("cypher_count_distinct", "MATCH (a) RETURN a.label, COUNT(DISTINCT a.name) AS names, COUNT(DISTINCT a.file) AS files", "SELECT label, count(DISTINCT name) AS names, count(DISTINCT file) AS files FROM nodes GROUP BY label")
+cypher_query("cypher_varlen_start", "MATCH (a:Function)-[:CALLS*1..4]->(b:Function) WHERE a.qualified ENDS WITH '.p1' RETURN b.qualified", _reach_sql(1, 4).replace("SELECT src, dst, 1 FROM steps UNION", "SELECT s.src, s.dst, 1 FROM steps s JOIN nodes f ON f.id = s.src AND f.qualified ILIKE '%.p1' UNION").replace("SELECT DISTINCT src, dst FROM walk WHERE n >= 1", "SELECT DISTINCT b.qualified FROM walk w JOIN nodes b ON b.id = w.dst"))
+cypher_query("cypher_varlen_back", "MATCH (a:Module)<-[:MEMBER_OF*1..2]-(b) WHERE a.name = 'NATION_3' RETURN b.name", "SELECT DISTINCT b.name FROM nodes a JOIN edges e ON e.dst = a.id AND e.type = 'MEMBER_OF' JOIN nodes b ON b.id = e.src WHERE a.label = 'Module' AND a.name = 'NATION_3'")
+
+
+@on_graph("cypher_default_limit", "SELECT DISTINCT name FROM nodes WHERE label = 'Class' ORDER BY name LIMIT 50")
+def _(nodes, edges):
+    return cypher.query(nodes, edges, "MATCH (a:Class) RETURN a.name")
+
+
 cypher_query("cypher_first_edge", "MATCH (a:Function)-[:CALLS]->(b:Function) RETURN a.qualified, b.qualified", "f AS (SELECT src, min(dst) AS dst FROM edges WHERE type = 'CALLS' GROUP BY src) SELECT DISTINCT a.qualified AS a_qualified, b.qualified AS b_qualified FROM f JOIN nodes a ON a.id = f.src JOIN nodes b ON b.id = f.dst", True)
 
 # Impact and structure
@@ -201,9 +211,9 @@ def _(nodes, edges):
     return graph.clusters(nodes)
 
 
-@on_graph("cluster_members", f"SELECT {_CLUSTER} AS cluster, string_agg(name, ',' ORDER BY name) AS names FROM nodes WHERE label IN ('Module', 'Package') GROUP BY 1")
+@on_graph("cluster_members", f"SELECT {_CLUSTER} AS cluster, name FROM nodes")
 def _(nodes, edges):
-    return graph.cluster_members(nodes.where("label IN ('Module', 'Package')")).select("cluster", F.array_join("names", ",").alias("names"))
+    return graph.cluster_members(nodes)
 
 
 @on_graph("languages", "SELECT split_part(file, '.', -1) AS language, count(*) AS n_nodes FROM nodes GROUP BY 1")
@@ -414,9 +424,9 @@ def _hash_sql(c: str) -> str:
     return f"list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split({c}, ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda h, c: {step})"
 
 
-@on_graph("hash32", f"words AS (SELECT DISTINCT unnest({_SPLIT.format('name')}) AS word FROM nodes WHERE label <> 'Method') SELECT word, {_hash_sql('word')} AS hash FROM words")
+@on_graph("hash32", f"words AS (SELECT DISTINCT unnest({_SPLIT.format('name')}) AS word FROM nodes) SELECT word, {_hash_sql('word')} AS hash FROM words")
 def _(nodes, edges):
-    return nodes.where("label <> 'Method'").select(F.explode(T.split_identifier("name")).alias("word")).distinct().select("word", V.hash32(F.col("word")).alias("hash"))
+    return nodes.select(F.explode(T.split_identifier("name")).alias("word")).distinct().select("word", V.hash32(F.col("word")).alias("hash"))
 
 
 _SIGN = "CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END"
@@ -424,26 +434,31 @@ _SIGN = "CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END"
 
 @on_graph(
     "hash_embed",
-    f"words AS (SELECT id, unnest({_SPLIT.format('name')}) AS w FROM nodes WHERE label IN ('Interface', 'Module', 'Package')), "
+    f"words AS (SELECT id, unnest({_SPLIT.format('name')}) AS w FROM nodes), "
     "grams AS (SELECT id, w AS g, 1.0 + least(length(w), 4) AS size FROM words UNION ALL SELECT id, unnest(list_transform(range(1, length(w)), lambda i: substring(w, CAST(i AS BIGINT), 2))), 0.5 FROM words), "
     f"hashed AS (SELECT id, size, {_hash_sql('g')} AS h FROM grams), sums AS (SELECT id, h % 256 AS i, sum(size * ({_SIGN})) AS x FROM hashed GROUP BY id, h % 256), "
     "norm AS (SELECT id, sqrt(sum(x * x)) AS n FROM sums GROUP BY id) SELECT s.id, CAST(count(*) AS BIGINT) AS used, round(sum((s.i + 1) * x / n), 6) AS moment FROM sums s JOIN norm ON norm.id = s.id WHERE x <> 0 GROUP BY s.id",
 )
 def _(nodes, edges):
-    some = nodes.where("label IN ('Interface', 'Module', 'Package')")
-    vec = V.embed(some, "id", F.col("name"))
+    vec = V.embed(nodes, "id", F.col("name"))
     return vec.select("id", F.size(F.filter("vec", lambda x: x != 0)).cast("long").alias("used"), F.round(F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("moment"))
 
 
-@query("hybrid_search")
-def _(spark, d):
-    nodes = demo_graph.nodes(spark, d).where(F.col("label").isin(*CODE_LABELS))
-    return V.semantic_query(nodes, V.build_index(nodes), "customer 99 building", 10, with_signals=True, project="crm.BUILDING")
+_NODE_TEXT = " || ' ' || ".join(f"array_to_string({_SPLIT.format(c)}, ' ')" for c in ("name", "qualified", "coalesce(signature, '')", "coalesce(doc, '')", "name", "qualified"))
+_EMBEDDED = (
+    f"words AS (SELECT id, unnest(list_filter(string_split({_NODE_TEXT}, ' '), lambda x: x <> '')) AS w FROM nodes WHERE label IN ('Function', 'Method', 'Class', 'Interface', 'Enum', 'Type') AND trim(name) <> ''), "
+    "grams AS (SELECT id, w AS g, 1.0 + least(length(w), 4) AS size FROM words UNION ALL SELECT id, unnest(list_transform(range(1, length(w)), lambda i: substring(w, CAST(i AS BIGINT), 2))), 0.5 FROM words), "
+    f"kinds AS (SELECT g, {_hash_sql('g')} AS h FROM (SELECT DISTINCT g FROM grams) d), hashed AS (SELECT id, size, h FROM grams JOIN kinds USING (g)), "
+    f"sums AS (SELECT id, h % 256 AS i, sum(size * ({_SIGN})) AS x FROM hashed GROUP BY id, h % 256), norm AS (SELECT id, sqrt(sum(x * x)) AS n FROM sums GROUP BY id), "
+    "steps AS (SELECT s.id, s.i, CAST(floor(CAST(x AS DOUBLE) / n * 127 + 0.5) AS BIGINT) AS q FROM sums s JOIN norm ON norm.id = s.id)"
+)
 
 
-@query("embedding_index")
+@query("embedding_index", f"{_EMBEDDED} SELECT id AS node_id, count(*) FILTER (WHERE q <> 0) AS used, CAST(sum(q * (i + 1)) AS BIGINT) AS moment, CAST(sum(q * q) AS BIGINT) AS size FROM steps GROUP BY id", True)
 def _(spark, d):
-    return V.build_index(demo_graph.nodes(spark, d)).select("node_id", "project", F.array_join("vec", ",").alias("vec"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    v = V.build_index(demo_graph.nodes(spark, d)).select("node_id", F.transform("vec", lambda x: x.cast("long")).alias("v"))
+    return v.select("node_id", F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("used"), total(F.transform("v", lambda x, i: x * (i + 1))).alias("moment"), total(F.transform("v", lambda x: x * x)).alias("size"))
 
 
 # Traces
@@ -574,3 +589,12 @@ _RULES = ["parts/*1*", "!parts/*11*", "crm/", "*.tbl"]
 @on_graph("ignore_filter", "SELECT DISTINCT file FROM nodes WHERE NOT (file LIKE 'crm/%' OR file LIKE '%.tbl' OR (file LIKE 'parts/%1%' AND NOT file LIKE 'parts/%11%'))")
 def _(nodes, edges):
     return nodes.select("file").distinct().where(files.kept_column(F.col("file"), files.parse_rules("\n".join(_RULES))))
+
+
+# Ranking by vectors, text and signals
+
+
+@query("hybrid_search")
+def _(spark, d):
+    nodes = demo_graph.nodes(spark, d).where(F.col("label").isin(*CODE_LABELS))
+    return V.semantic_query(nodes, V.build_index(nodes), "customer 99 building", 10, with_signals=True, project="crm.BUILDING")

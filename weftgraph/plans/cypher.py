@@ -73,6 +73,7 @@ class Item:
     prop: str | None = None
     aggregate: str | None = None
     alias: str | None = None
+    distinct: bool = False
 
 
 @dataclass
@@ -86,7 +87,8 @@ class Query:
 
 
 class Parser:
-    def __init__(self, text: str):
+    def __init__(self, text: str, lenient: bool = False):
+        self.lenient = lenient
         self.tokens: list[tuple[str, str]] = []
         at = 0
         text = text.strip().rstrip(";")
@@ -149,7 +151,10 @@ class Parser:
                     q.where.append(self.condition())
             elif self.take("RETURN"):
                 self.returns(q)
-            elif self.take("WITH") or self.take("UNWIND"):
+            elif self.peek("WITH") or self.peek("UNWIND"):
+                word = self.any("name").upper()
+                if not self.lenient:
+                    raise CypherError(f"{word} is not supported; lenient=True passes over it")
                 while self.at < len(self.tokens) and not any(self.peek(w) for w in ("MATCH", "OPTIONAL", "WHERE", "RETURN", "WITH", "UNWIND")):
                     self.at += 1
             else:
@@ -214,20 +219,20 @@ class Parser:
         raise CypherError(f"no comparison at {self.tokens[self.at : self.at + 2]}")
 
     def item(self) -> Item:
-        name, prop, aggregate = self.any("name"), None, None
+        name, prop, aggregate, distinct = self.any("name"), None, None, False
         if name.upper() in AGGREGATES and self.take("("):
             aggregate = name.upper()
             if self.take("*"):
                 name = "*"
             else:
-                self.take("DISTINCT")
+                distinct = self.take("DISTINCT")
                 name = self.any("name")
             if name != "*" and self.take("."):
                 prop = self.any("name")
             self.need(")")
         elif self.take("."):
             prop = self.any("name")
-        return Item(name, prop, aggregate, self.any("name") if self.take("AS") else None)
+        return Item(name, prop, aggregate, self.any("name") if self.take("AS") else None, distinct)
 
     def returns(self, q: Query) -> None:
         self.take("DISTINCT")
@@ -251,8 +256,9 @@ class Parser:
             q.limit = int(self.any("int"))
 
 
-def parse(text: str) -> Query:
-    return Parser(text).parse()
+def parse(text: str, lenient: bool = False) -> Query:
+    """lenient passes over WITH and UNWIND with all they say, as the language's first form here did."""
+    return Parser(text, lenient).parse()
 
 
 def column(name: str, prop: str) -> str:
@@ -293,13 +299,16 @@ class Compiler:
             raise CypherError(f"unknown property {prop}")
         return prop
 
-    def step(self, hop: Hop) -> DataFrame:
-        """(_a, _b): the pairs of ends of a hop."""
+    def step(self, hop: Hop, starts: DataFrame | None = None) -> DataFrame:
+        """(_a, _b): the pairs of ends of a hop; walks of several edges begin at `starts` (id) only."""
         used = self.edges if hop.type is None else self.edges.where(F.col("type") == hop.type)
         used = used.where("dst IS NOT NULL")
         if hop.ranged and (hop.low, hop.high) != (1, 1):
-            used = reach(used, hop.low, hop.high)
-        elif self.first_edge:
+            if hop.back:
+                used = used.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+            pairs = reach(used, hop.low, hop.high, sources=starts)
+            return pairs.select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
+        if self.first_edge:
             order = [c for c in ("id", "dst") if c in used.columns]
             used = used.withColumn("_n", F.row_number().over(Window.partitionBy("src", "type").orderBy(*order))).where("_n = 1")
         a, b = ("dst", "src") if hop.back else ("src", "dst")
@@ -309,7 +318,7 @@ class Compiler:
         df = self.side(p.nodes[0], where, properties)
         seen = {p.nodes[0].name}
         for hop, left, right in zip(p.hops, p.nodes, p.nodes[1:], strict=False):
-            df = df.join(self.step(hop), df[column(left.name, "id")] == F.col("_a")).drop("_a")
+            df = df.join(self.step(hop, df.select(F.col(column(left.name, "id")).alias("id"))), df[column(left.name, "id")] == F.col("_a")).drop("_a")
             if right.name in seen:
                 df = df.where(F.col("_b") == F.col(column(right.name, "id"))).drop("_b")
             else:
@@ -367,11 +376,13 @@ class Compiler:
             aggs = []
             for i in q.items:
                 if i.aggregate == "COUNT":
-                    a = F.count("*") if i.name == "*" else F.count(F.col(column(i.name, i.prop or "id" if i.prop else "id")))
+                    counted = F.col(column(i.name, i.prop or "id"))
+                    a = F.count("*") if i.name == "*" else F.count_distinct(counted) if i.distinct else F.count(counted)
                 elif i.aggregate == "COLLECT":
-                    a = F.array_join(F.sort_array(F.collect_list(value(i).cast("string"))), ",")
+                    # one row holds all values of its group, as the language asks for
+                    a = F.array_join(F.sort_array((F.collect_set if i.distinct else F.collect_list)(value(i).cast("string"))), ",")
                 elif i.aggregate:
-                    a = {"SUM": F.sum, "MIN": F.min, "MAX": F.max}[i.aggregate](value(i))
+                    a = {"SUM": F.sum_distinct if i.distinct else F.sum, "MIN": F.min, "MAX": F.max}[i.aggregate](value(i))
                 else:
                     continue
                 aggs.append(a.alias(names[id(i)]))
@@ -393,10 +404,10 @@ class Compiler:
         return ordered if limit is None else ordered.limit(limit)
 
 
-def query(nodes: DataFrame, edges: DataFrame, text: str, first_edge: bool = False, default_limit: int | None = DEFAULT_LIMIT) -> DataFrame:
+def query(nodes: DataFrame, edges: DataFrame, text: str, first_edge: bool = False, default_limit: int | None = DEFAULT_LIMIT, lenient: bool = False) -> DataFrame:
     """The rows of a query.
 
     first_edge follows one edge per source and type only. With default_limit
     None a query without LIMIT returns all rows, in no order but its own.
     """
-    return Compiler(nodes, edges, first_edge, default_limit).compile(parse(text))
+    return Compiler(nodes, edges, first_edge, default_limit).compile(parse(text, lenient))

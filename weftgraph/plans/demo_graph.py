@@ -2,6 +2,9 @@
 
 The statements are the same for Spark and for any other SQL engine, so that
 results can be held against each other. {name} stands for a table.
+
+Every row of the tables takes part. A part CALLS the next of its brand and the
+next of its type; parts that follow each other in an order are CALL_REFERENCEs.
 """
 
 from __future__ import annotations
@@ -37,8 +40,12 @@ def _edge(src: str, dst: str, kind: str, confidence: str, rest: str) -> str:
 
 
 _NEXT = (
-    "(SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b, l_quantity AS q FROM {lineitem}) pairs "
-    "WHERE q >= 48 AND b IS NOT NULL GROUP BY a, b"
+    "(SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM {lineitem}) pairs "
+    "WHERE b IS NOT NULL GROUP BY a, b"
+)
+_CHAIN = (
+    "(SELECT p_partkey AS a, lead(p_partkey) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM {part} "
+    "UNION SELECT p_partkey, lead(p_partkey) OVER (PARTITION BY p_type ORDER BY p_partkey) FROM {part}) pairs WHERE b IS NOT NULL"
 )
 EDGES = " UNION ALL ".join(
     [
@@ -48,7 +55,8 @@ EDGES = " UNION ALL ".join(
         _edge("3000000000 + o_custkey", "6000000000 + o_orderkey", "DEFINES_METHOD", "'exact'", "{orders}"),
         _edge("6000000000 + l_orderkey", "5000000000 + l_partkey", "USES_TYPE", "CASE min(CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END) WHEN 1 THEN 'exact' WHEN 2 THEN 'reference' ELSE 'usage' END", "{lineitem} GROUP BY l_orderkey, l_partkey"),
         _edge("5000000000 + l_partkey", "4000000000 + l_suppkey", "USES_TYPE", "'exact'", "{lineitem} GROUP BY l_partkey, l_suppkey"),
-        _edge("5000000000 + a", "5000000000 + b", "CALLS", "'exact'", _NEXT),
+        _edge("5000000000 + a", "5000000000 + b", "CALLS", "'exact'", _CHAIN),
+        _edge("5000000000 + a", "5000000000 + b", "CALL_REFERENCE", "'reference'", _NEXT),
         _edge("6000000000 + o_orderkey", "NULL", "USAGE", "'usage'", "{orders} WHERE o_orderpriority = '5-LOW'"),
     ]
 )

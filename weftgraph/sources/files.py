@@ -9,9 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Folders that are never read, the names of ignore files, and suffixes.
 IGNORED_DIRS = (
-    ".git", ".hg", ".svn", "node_modules", "bower_components", "vendor", "dist", "build", "out", "target", "bin", "obj", ".next", ".nuxt",
-    ".venv", "venv", "env", "__pycache__", ".mypy_cache", ".pytest_cache", ".tox", ".idea", ".vscode", "coverage", ".cache",
+    "node_modules", ".git", ".hg", ".svn", "dist", "build", "target", "out", "venv", ".venv", "__pycache__", ".next", ".nuxt", ".cache", "bin", "obj", ".gradle", ".idea", ".vscode",
+    "coverage", ".tox", ".mypy_cache", ".pytest_cache", "vendor", ".terraform",
 )
 IGNORE_FILES = (".gitignore", ".cbm-ignore")
 LANGUAGES = {
@@ -30,12 +31,13 @@ OF_SUFFIX = {suffix: lang for lang, suffixes in LANGUAGES.items() for suffix in
 
 @dataclass(frozen=True)
 class Rule:
-    """A line of an ignore file."""
+    """A line of an ignore file; it holds for what lies in the folder `base`, empty for all."""
 
     pattern: str
     negated: bool
     dir_only: bool
     regex: str
+    base: str = ""
 
 
 def rule_regex(pattern: str) -> str:
@@ -53,7 +55,7 @@ def rule_regex(pattern: str) -> str:
     return ("^" if anchored else "(^|/)") + out.removeprefix("/") + "(/.*)?$"
 
 
-def parse_rules(text: str) -> list[Rule]:
+def parse_rules(text: str, base: str = "") -> list[Rule]:
     rules = []
     for line in text.splitlines():
         line = line.strip()
@@ -64,7 +66,7 @@ def parse_rules(text: str) -> list[Rule]:
         dir_only = line.endswith("/")
         line = line.rstrip("/")
         if line:
-            rules.append(Rule(line, negated, dir_only, rule_regex(line)))
+            rules.append(Rule(line, negated, dir_only, rule_regex(line), base))
     return rules
 
 
@@ -72,7 +74,7 @@ def ignored(path: str, is_dir: bool, rules: list[Rule]) -> bool:
     """By the last rule that matches."""
     out = False
     for r in rules:
-        if (is_dir or not r.dir_only) and re.search(r.regex, path, re.IGNORECASE):
+        if (is_dir or not r.dir_only) and (not r.base or path.startswith(r.base + "/")) and re.search(r.regex, path, re.IGNORECASE):
             out = not r.negated
     return out
 
@@ -82,7 +84,8 @@ def ignored_column(path: Column, rules: list[Rule], is_dir: bool = False) -> Col
     out = F.lit(False)
     for r in rules:
         if is_dir or not r.dir_only:
-            out = F.when(path.rlike("(?i)" + r.regex), not r.negated).otherwise(out)
+            hit = path.rlike("(?i)" + r.regex)
+            out = F.when(path.startswith(r.base + "/") & hit if r.base else hit, not r.negated).otherwise(out)
     return out
 
 
@@ -112,38 +115,56 @@ def content_hash(content: Column | str) -> Column:
     return F.sha1(content)
 
 
-def read_rules(spark: SparkSession, root: str) -> list[Rule]:
-    """The rules of all ignore files under root, outer folders first.
+def walk(spark: SparkSession, root: str, extra: list[Rule] = ()) -> list[str]:
+    """The supported files under root that no rule hides, as paths below it.
 
-    Spark's readers pass over hidden files, so these are opened through the
-    file system that root lies in.
+    Spark's readers pass over hidden files, so ignore files are opened through
+    the file system that root lies in. Folders that are never read, or that a
+    rule hides, are not listed; the rules of a folder hold below it, after those
+    of the folders above.
     """
     jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, listed = [], fs.listFiles(path, True)
-    while listed.hasNext():
-        at = listed.next().getPath()
-        if at.getName() in IGNORE_FILES:
-            found.append((str(at).count("/"), str(at), at))
-    rules = []
-    for _, _, at in sorted(found, key=lambda x: x[:2]):
-        stream = fs.open(at)
-        try:
-            rules += parse_rules(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-    return rules
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: list[str] = []
+    todo: list[tuple[str, list[Rule]]] = [("", [])]
+    while todo:
+        folder, rules = todo.pop()
+        found = [(s.getPath().getName(), s.isDirectory(), s.getPath()) for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(top, folder) if folder else top)]
+        for wanted in IGNORE_FILES:
+            for name, is_dir, at in found:
+                if name == wanted and not is_dir:
+                    stream = fs.open(at)
+                    try:
+                        rules = rules + parse_rules(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"), folder)
+                    finally:
+                        stream.close()
+        used = [*rules, *extra]
+        for name, is_dir, _ in found:
+            path = f"{folder}/{name}" if folder else name
+            if name in IGNORED_DIRS or ignored(path, is_dir, used):
+                continue
+            if is_dir:
+                todo.append((path, rules))
+            elif any(name.lower().endswith(x) for x in OF_SUFFIX):
+                out.append(path)
+    return sorted(out)
 
 
 def scan(spark: SparkSession, root: str, project: str, extra: list[str] | None = None) -> DataFrame:
-    """(project, path, lang, content, hash, mtime): the supported files under root that no rule hides; path is relative."""
+    """(project, path, lang, content, hash, mtime): the supported files under root that no rule hides; path is relative.
+
+    Only the contents of these files are read. Their names go through the
+    driver, as do those of any files that Spark reads.
+    """
     root = root.rstrip("/")
-    rules = read_rules(spark, root) + parse_rules("\n".join(extra or []))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    paths = walk(spark, root, parse_rules("\n".join(extra or [])))
+    schema = "project string, path string, lang string, content string, hash string, mtime long"
+    if not paths:
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").load([f"{root}/{p}" for p in paths])
     tail = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.split("://")[-1]) + "/", "")
     out = files.select(F.lit(project).alias("project"), tail.alias("path"), F.decode("content", "UTF-8").alias("content"), F.unix_millis("modificationTime").alias("mtime"))
-    out = out.where(supported("path") & kept_column(F.col("path"), rules))
     return out.select("project", "path", language("path").alias("lang"), "content", content_hash("content").alias("hash"), "mtime")
 
 

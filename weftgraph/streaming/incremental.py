@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import maintenance, resolve
+from ..operators.lineage import cut
 from ..schema import EDGES, FILES, NODES
 from ..sources import extract
 from ..sources.files import content_hash
@@ -51,23 +52,42 @@ class GraphState:
         fs, path = self._fs()
         fs.create(path(f"{self.folder}/v{version}/_DONE"), True).close()
 
+    def drop_before(self, version: int) -> None:
+        """Delete versions older than that; the one before stays, as a batch may be run again from it."""
+        fs, path = self._fs()
+        keep = self.latest(before=version)
+        for s in fs.listStatus(path(self.folder)):
+            name = s.getPath().getName()
+            if name[:1] == "v" and name[1:].isdigit() and keep is not None and int(name[1:]) < keep:
+                fs.delete(s.getPath(), True)
+
 
 def index_files(state: dict[str, DataFrame], batch: DataFrame, now: int) -> dict[str, DataFrame]:
     """The state after the files of a batch that are new or changed have been extracted anew; others cost nothing."""
-    hashed = batch.dropDuplicates(["project", "path"]).withColumn("hash", content_hash("content"))
+    # of several versions of a path the one of the latest time, where a time is given
+    order = F.struct(*[F.col(c) for c in ("mtime",) if c in batch.columns], F.xxhash64("content"))
+    newest = batch.groupBy("project", "path").agg(F.max_by(F.struct("lang", "content"), order).alias("f")).select("project", "path", "f.lang", "f.content")
+    hashed = newest.withColumn("hash", content_hash("content"))
     changed = maintenance.changed_files(hashed, state["files"]).select("project", "path", "lang", "content", "hash")
+    changed = cut(changed)
     new_nodes, new_edges = resolve.build(changed, extract.extract(changed))
     rows = changed.select("project", "path", "lang", "hash", F.lit(0).cast("long").alias("mtime"), F.lit(now).cast("long").alias("indexed_at"))
     n, e, f = maintenance.replace_files(state["nodes"], state["edges"], state["files"], new_nodes, new_edges, rows)
     return {"nodes": n, "edges": e, "files": f}
 
 
-def watch(files: DataFrame, state: GraphState, checkpoint: str, trigger: dict | None = None, on_index: Callable[[int, DataFrame], None] | None = None) -> StreamingQuery:
-    """Index a stream of files into a state; trigger is by default whatever is there now."""
+def watch(files: DataFrame, state: GraphState, checkpoint: str, trigger: dict | None = None, on_index: Callable[[int, DataFrame], None] | None = None, on_disk: Callable[[], DataFrame] | None = None) -> StreamingQuery:
+    """Index a stream of files into a state; trigger is by default whatever is there now.
+
+    on_disk gives (project, path) of the files that are there; others leave the
+    graph after each batch.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         before = state.latest(before=batch_id)
-        state.write(index_files(state.read(before) if before is not None else {n: state.spark.createDataFrame([], s) for n, s in _TABLES.items()}, batch, batch_id), batch_id)
+        now = index_files(state.read(before) if before is not None else {n: state.spark.createDataFrame([], s) for n, s in _TABLES.items()}, batch, batch_id)
+        state.write(remove_missing(now, on_disk()) if on_disk else now, batch_id)
+        state.drop_before(batch_id)
         if on_index:
             on_index(batch_id, batch)
 
