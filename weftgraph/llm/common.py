@@ -22,12 +22,15 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
     It lies in the folder of spark.checkpoint.dir, which all executors share, so
-    a lost executor loses nothing. Only where that is unset (tests, local runs)
-    a folder of this machine is used.
+    a lost executor loses nothing. Only where that is unset and the master is
+    local a folder of this machine is used.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
