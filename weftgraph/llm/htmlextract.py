@@ -43,6 +43,8 @@ MAIN, BESIDE = 0.5, 0.2
 LINKED = 0.6
 #: Up to so many wrappers (some kilobytes each), their table is broadcast.
 BROADCAST_WRAPPERS = 5_000
+#: Up to so many pairs of children, plain loops are faster than arrays.
+FEW_PAIRS = 128
 #: Elements below the document's root by which layouts are told apart.
 LAYOUT_DEPTH = 3
 
@@ -113,6 +115,8 @@ class Page:
     digests: list[int] = field(default_factory=list)
     chars: list[int] = field(default_factory=list)
     links: list[int] = field(default_factory=list)
+    #: A matching that knows the page, the children of its nodes and their shapes.
+    met: tuple | None = None
 
     def children(self) -> list[list[int]]:
         out: list[list[int]] = [[] for _ in self.names]
@@ -361,6 +365,14 @@ class Matching:
 
     def last_row(self, x: Sequence[int], y: Sequence[int]) -> np.ndarray:
         """The numbers of x against each prefix of y."""
+        if len(x) * len(y) <= FEW_PAIRS:
+            row = [0] * (len(y) + 1)
+            for i in x:
+                before = 0  # of one row up and one place to the left
+                for k, j in enumerate(y, 1):
+                    before, up = row[k], before + self.value[i, j]
+                    row[k] = max(before, up, row[k - 1])
+            return np.array(row)
         distinct, index = np.unique(np.array(y), return_inverse=True)
         rows: dict[int, np.ndarray] = {}
         best = np.zeros(len(y) + 1, np.int64)
@@ -391,10 +403,15 @@ class Matching:
             cut = c + int((ahead + behind).argmax())
             todo += [(a, mid, c, cut), (mid, b, cut, d)]
 
+    def known(self, page: Page) -> tuple[list[list[int]], list[int]]:
+        if page.met is None or page.met[0] is not self:
+            children = page.children()
+            page.met = self, children, self.shapes_of(page, children)
+        return page.met[1:]
+
     def partners(self, a: Page, b: Page) -> dict[int, int]:
         """For each node of a its partner in b, if it has one."""
-        ac, bc = a.children(), b.children()
-        sa, sb = self.shapes_of(a, ac), self.shapes_of(b, bc)
+        (ac, sa), (bc, sb) = self.known(a), self.known(b)
         out: dict[int, int] = {}
         todo = [(0, 0)] if a.names and b.names and self.weight(sa[0], sb[0]) else []
         while todo:
