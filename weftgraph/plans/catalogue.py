@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import graph, maintenance, traces
+from ..operators.lineage import cut
 from ..schema import CODE_LABELS
 from ..sources import files
 from . import cypher, demo_graph
@@ -597,4 +598,4 @@ def _(nodes, edges):
 @query("hybrid_search")
 def _(spark, d):
     nodes = demo_graph.nodes(spark, d).where(F.col("label").isin(*CODE_LABELS))
-    return V.semantic_query(nodes, V.build_index(nodes), "customer 99 building", 10, with_signals=True, project="crm.BUILDING")
+    return V.semantic_query(nodes, cut(V.build_index(nodes)), "customer 99 building", 10, with_signals=True, project="crm.BUILDING")

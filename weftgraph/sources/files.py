@@ -116,7 +116,12 @@ def content_hash(content: Column | str) -> Column:
 
 
 def walk(spark: SparkSession, root: str, extra: list[Rule] = ()) -> list[str]:
-    """The supported files under root that no rule hides, as paths below it.
+    """The supported files under root that no rule hides, as paths below it."""
+    return [path for path, _, _ in _found(spark, root, extra)]
+
+
+def _found(spark: SparkSession, root: str, extra: list[Rule]) -> list[tuple[str, int, int]]:
+    """The same with size and time of change.
 
     Spark's readers pass over hidden files, so ignore files are opened through
     the file system that root lies in. Folders that are never read, or that a
@@ -126,28 +131,28 @@ def walk(spark: SparkSession, root: str, extra: list[Rule] = ()) -> list[str]:
     jvm = spark._jvm
     top = jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    out: list[str] = []
+    out: list[tuple[str, int, int]] = []
     todo: list[tuple[str, list[Rule]]] = [("", [])]
     while todo:
         folder, rules = todo.pop()
-        found = [(s.getPath().getName(), s.isDirectory(), s.getPath()) for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(top, folder) if folder else top)]
+        found = [(s.getPath().getName(), s.isDirectory(), s) for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(top, folder) if folder else top)]
         for wanted in IGNORE_FILES:
             for name, is_dir, at in found:
                 if name == wanted and not is_dir:
-                    stream = fs.open(at)
+                    stream = fs.open(at.getPath())
                     try:
                         rules = rules + parse_rules(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"), folder)
                     finally:
                         stream.close()
         used = [*rules, *extra]
-        for name, is_dir, _ in found:
+        for name, is_dir, at in found:
             path = f"{folder}/{name}" if folder else name
             if name in IGNORED_DIRS or ignored(path, is_dir, used):
                 continue
             if is_dir:
                 todo.append((path, rules))
             elif any(name.lower().endswith(x) for x in OF_SUFFIX):
-                out.append(path)
+                out.append((path, at.getLen(), at.getModificationTime()))
     return sorted(out)
 
 
@@ -158,16 +163,21 @@ def scan(spark: SparkSession, root: str, project: str, extra: list[str] | None =
     driver, as do those of any files that Spark reads.
     """
     root = root.rstrip("/")
-    paths = walk(spark, root, parse_rules("\n".join(extra or [])))
-    schema = "project string, path string, lang string, content string, hash string, mtime long"
-    if not paths:
-        return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").load([f"{root}/{p}" for p in paths])
-    tail = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.split("://")[-1]) + "/", "")
-    out = files.select(F.lit(project).alias("project"), tail.alias("path"), F.decode("content", "UTF-8").alias("content"), F.unix_millis("modificationTime").alias("mtime"))
+    found = _found(spark, root, parse_rules("\n".join(extra or [])))
+    # Spark's reader gives no row for an empty file
+    out = spark.createDataFrame([(project, p, "", t) for p, n, t in found if not n], "project string, path string, content string, mtime long")
+    paths = [f"{root}/{p}" for p, n, _ in found if n]
+    if paths:
+        out = out.unionByName(_contents(spark, root, project, paths))
     return out.select("project", "path", language("path").alias("lang"), "content", content_hash("content").alias("hash"), "mtime")
 
 
+def _contents(spark: SparkSession, root: str, project: str, paths: list[str]) -> DataFrame:
+    files = spark.read.format("binaryFile").load(paths)
+    tail = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.split("://")[-1]) + "/", "")
+    return files.select(F.lit(project).alias("project"), tail.alias("path"), F.decode("content", "UTF-8").alias("content"), F.unix_millis("modificationTime").alias("mtime"))
+
+
 def ledger(files: DataFrame, now: int) -> DataFrame:
     """schema.FILES of scanned files."""
     return files.select("project", "path", "lang", "hash", "mtime", F.lit(now).cast("long").alias("indexed_at"))
