@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch that are held as Python strings at once.
+SLICE = 256
 #: Maps A-Z to a-z and leaves every other byte alone.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -44,6 +46,13 @@ def crc_of_id(doc_id: int | None) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in pieces of at most SLICE, without a copy."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list], dict[str, list]]],
@@ -51,16 +60,16 @@ def map_texts(
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """key and what make()(texts) returns for each batch of texts.
+    """key and what make()(texts) returns for texts of SLICE rows at a time.
 
     make runs once in each task, so that it can load tables. Memory is bounded
-    by an Arrow batch.
+    by an Arrow batch and the strings of one slice.
     """
     arrow = pa.schema([(key, pa.int64()), *_fields(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in slices(batches):
             found = work(batch.column(1).to_pylist())
             arrays = [batch.column(0).cast(pa.int64())]
             arrays += [pa.array(found[f.name], f.type) for f in list(arrow)[1:]]
@@ -75,7 +84,7 @@ def filter_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterable[bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(work(batch.column(at).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

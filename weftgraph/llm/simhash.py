@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import LOWER, map_texts, materialize
+from .common import LOWER, map_texts, materialize, slices
 from .components import connected_components
 
 DISTANCE = 2
@@ -237,7 +237,7 @@ def with_fingerprint(docs: DataFrame, name: str, shingle: int = SHINGLE) -> Data
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], names=[*b.schema.names, name])
 

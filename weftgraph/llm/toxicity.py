@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, filter_rows, map_texts
+from .common import crc_of_id, filter_rows, map_texts, slices
 
 PREFIXES, SUFFIXES = (3, 4, 5, 6, 7, 8), (4, 5, 6)
 #: At most so many confirmed toxic and so many unlabelled documents are fitted on.
@@ -220,7 +220,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, *
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for b in batches:
+        for b in slices(batches):
             ids = b.column(0)
             s = np.array(score(b.column(1).to_pylist()), float)
             held = [crc_of_id(i) % FOLDS == HELD_OUT for i in ids.to_pylist()]
