@@ -1,6 +1,7 @@
 """Operators that look at all rows together, each against brute force or a law that its result must hold."""
 
 import math
+import random
 import re
 import struct
 import zlib
@@ -12,6 +13,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from weftgraph.llm import components as components_module
@@ -465,3 +467,36 @@ def test_risk_is_corrected_for_the_prior():
     model = toxicity.train([toxic() for _ in range(200)], [toxic() for _ in range(150)] + [clean() for _ in range(150)], 0.5)
     score = lambda x: 1 / (1 + math.exp(-(model.bias + sum(model.weights.get(int(f), 0) for f in x[0]))))
     assert np.mean([score(toxic()) for _ in range(50)]) > 0.7 > 0.5 > np.mean([score(clean()) for _ in range(50)])
+
+
+def test_similarity_decides_which_near_copies_go(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(20):
+        base = [rng.choice(vocabulary) for _ in range(200)]
+        one, many = list(base), list(base)
+        one[rng.randrange(200)] = "changed"
+        for at in range(10, 190, 20):
+            many[at] = f"changed{at}"
+        rows += [(4 * i + k, " ".join(ws)) for k, ws in enumerate((base, [w.upper() for w in base], one, many))]
+    rows += [(100, None), (101, " "), (3, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(7))
+    kept = simhash.keep_one(docs, shingle=2, distance=5, segments=6, similarity=0.8, verify=5)
+    assert kept.columns == docs.columns
+    ids = sorted(r["doc_id"] for r in kept.collect())
+    assert len(set(ids)) == len(ids) and 100 in ids and 101 not in ids
+    assert all(4 * i in ids and 4 * i + 1 not in ids and 4 * i + 3 in ids for i in range(20))
+    assert sum(4 * i + 2 in ids for i in range(20)) <= 2
+    none = simhash.keep_one(docs.where("false"), similarity=0.8)
+    assert none.count() == 0
+
+
+def test_alike_equals_sets_compared_directly(spark):
+    texts = ["a b c d e f g", "a b c d e f h", "A b  c d e f g", "a b", "a b", "", "x y z a b c d e f g"]
+    node = [simhash.text_class(t) for t in texts]
+    sets = [set(simhash.shingle_set(t, 2).tolist()) for t in texts]
+    pairs = {(node[i], node[j]): len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j]) for i in range(7) for j in range(i)}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = simhash.alike(spark.createDataFrame(list(pairs), "x long, y long"), docs, 0.7, 2)
+    assert {tuple(r) for r in found.collect()} == {p for p, good in pairs.items() if good}

@@ -17,7 +17,7 @@ bound. Buckets return trees of links, not all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -36,6 +36,8 @@ SHINGLE = 3
 SEED = 42
 #: A key with more fingerprints than this is keyed anew on its open bits.
 BUCKET = 512
+#: Text classes of 8 bytes up to which they are sent to every task.
+BROADCAST = 1_000_000
 #: Tasks over which the fingerprints of one component are dealt.
 SALTS = 32
 _STEP = 4096
@@ -135,7 +137,10 @@ def bucket_links(fps: np.ndarray, distance: int = DISTANCE, segments: int = SEGM
     for lo in range(0, n, step):
         diff = fps[lo : lo + step, None] ^ fps[None, :]
         i, j = np.nonzero(chains_hold(diff, masks, distance))
-        near = (i + lo < j) & (np.bitwise_count(diff[i, j]) <= distance)
+        bits = np.bitwise_count(diff[i, j])
+        near = np.flatnonzero((i + lo < j) & (bits <= distance))
+        # the nearest first, so that the forest's links are the likeliest to hold
+        near = near[np.argsort(bits[near], kind="stable")]
         for a, b in zip((i[near] + lo).tolist(), j[near].tolist(), strict=True):
             ra, rb = find(a), find(b)
             if ra != rb:
@@ -209,13 +214,18 @@ def groups(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS,
     """(doc_id, fp) of each row, and (fp, root, component_id) of each fingerprint; root is the component's least fingerprint."""
     of_doc = materialize(fingerprints(docs, shingle))
     distinct = materialize(of_doc.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = materialize(connected_components(links(distinct.select("fp"), distance, segments, bucket)).withColumnRenamed("node", "fp"))
+    return of_doc, named(distinct, links(distinct.select("fp"), distance, segments, bucket))
+
+
+def named(distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of each row of distinct (fp, least) by the links found."""
+    roots = materialize(connected_components(found).withColumnRenamed("node", "fp"))
     ids = roots.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     # a component of very many fingerprints meets its id in SALTS tasks
     ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     linked = roots.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(ids, ["root", "salt"]).select("fp", "root", "component_id")
-    named = distinct.join(linked, "fp", "left")
-    return of_doc, named.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    out = distinct.join(linked, "fp", "left")
+    return out.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, bucket: int = BUCKET, shingle: int = SHINGLE) -> DataFrame:
@@ -228,39 +238,121 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, segments: int = S
     are taken whole. An empty table gives no rows. Other columns, whatever their
     names, are ignored.
     """
-    of_doc, named = groups(docs, distance, segments, bucket, shingle)
-    return of_doc.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_doc, about = groups(docs, distance, segments, bucket, shingle)
+    return of_doc.join(about, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def normal(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z lower-cased."""
+    return text.encode("utf-8", "replace").translate(LOWER).split() if text else []
+
+
+def text_class(text: str | None) -> int:
+    """A signed 64-bit hash of the word sequence: texts that differ in case or white space alone are one class."""
+    return signed(xxh64_intdigest(b" ".join(normal(text)), SEED))
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles; fewer words: that of the whole sequence; none: empty."""
+    ws = normal(text)
+    if not ws:
+        return np.zeros(0, np.int64)
+    shingles = map(b" ".join, zip(*(ws[i:] for i in range(shingle)), strict=False)) if len(ws) >= shingle else [b" ".join(ws)]
+    return np.unique(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64)).view(np.int64)
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, s) from (node, text)."""
+    schema = pa.schema([("node", pa.int64()), ("s", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = pa.array([shingle_set(t, shingle) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), sets], schema=schema)
+
+    return texts.mapInArrow(run, "node long, s array<long>")
+
+
+def alike(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (x, y) of text classes with a Jaccard similarity of their shingle sets of at least so much.
+
+    Only texts that stand in a pair have their sets made and moved.
+    """
+    ends = materialize(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct())
+    if ends.count() <= BROADCAST:
+        ends = F.broadcast(ends)
+    texts = with_key(docs.select(F.col("text").cast("string").alias("text")), "node", text_class)
+    one = texts.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    sets = materialize(shingle_sets(one.select("node", "text"), shingle))
+    both = pairs.join(sets.select(F.col("node").alias("x"), F.col("s").alias("s")), "x").join(sets.select(F.col("node").alias("y"), F.col("s").alias("t")), "y")
+    common = F.size(F.array_intersect("s", "t"))
+    return both.where(common >= similarity * (F.size("s") + F.size("t") - common)).select("x", "y")
+
+
+def similar_groups(docs: DataFrame, similarity: float, verify: int, distance: int, segments: int, bucket: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """As groups(), of text classes in place of fingerprints; a link holds where the classes' shingles are alike, too.
+
+    Candidates are the links between fingerprints, the nearest first, each by its
+    least class, and a fingerprint's other classes with its least.
+    """
+
+    def make():
+        return lambda texts: {"sim": np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64), "fp": [text_class(t) for t in texts]}
+
+    of_doc = materialize(map_texts(docs, make, "sim long, fp long"))
+    distinct = materialize(of_doc.groupBy("fp").agg(F.min("sim").alias("sim"), F.min("doc_id").alias("least")))
+    centres = materialize(distinct.groupBy("sim").agg(F.min("fp").alias("centre"), F.count("*").alias("n")))
+    near = links(centres.select(F.col("sim").alias("fp")), distance, segments, bucket).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = near.join(centres.select(F.col("sim").alias("a"), F.col("centre").alias("x")), "a").join(centres.select(F.col("sim").alias("b"), F.col("centre").alias("y")), "b")
+    same = distinct.join(centres.where("n > 1"), "sim").where("fp <> centre").select(F.col("fp").alias("x"), F.col("centre").alias("y"))
+    pairs = materialize(near.select("x", "y").unionByName(same))
+    return of_doc.select("doc_id", "fp"), named(distinct.select("fp", "least"), alike(pairs, docs, similarity, verify))
 
 
-def with_fingerprint(docs: DataFrame, name: str, shingle: int = SHINGLE) -> DataFrame:
-    """The rows with all their columns and their fingerprints."""
+def with_key(docs: DataFrame, name: str, key: Callable[[str | None], int]) -> DataFrame:
+    """The rows with all their columns and the signed 64-bit key of their texts."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fp = np.array([fingerprint(t, shingle) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp, pa.int64())], names=[*b.schema.names, name])
+            found = pa.array([key(t) for t in b.column(at).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(
+    docs: DataFrame,
+    distance: int = DISTANCE,
+    segments: int = SEGMENTS,
+    bucket: int = BUCKET,
+    shingle: int = SHINGLE,
+    similarity: float | None = None,
+    verify: int = 5,
+) -> DataFrame:
     """One row of each component, with all its columns: that of the least doc_id.
 
     Of rows that repeat that doc_id, and of a component none of whose rows has
-    one, the row of the least fingerprint and text hash stays.
+    one, the row of the least key and text hash stays. With a similarity, links
+    hold only between texts whose sets of shingles of verify words have at least
+    that Jaccard similarity; equal word sequences always are one.
     """
-    of_doc, named = groups(docs, **options)
-    named = materialize(named)
-    least = of_doc.join(named, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    if similarity is None:
+        of_doc, about = groups(docs, distance, segments, bucket, shingle)
+        key = lambda text: signed(fingerprint(text, shingle))
+    else:
+        of_doc, about = similar_groups(docs, similarity, verify, distance, segments, bucket, shingle)
+        key = text_class
+    about = materialize(about)
+    least = of_doc.join(about, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = materialize(least.groupBy(F.col("doc_id").alias("_id")).agg((F.count("*") > 1).alias("_again")))
     plain = kept.where("_id IS NOT NULL AND NOT _again").select("_id")
     out = docs.join(plain, docs["doc_id"].cast("long") == plain["_id"], "left_semi")
     unclear = kept.where("_id IS NULL OR _again").select("_id")
     if unclear.isEmpty():
         return out
-    rows = with_fingerprint(docs.join(unclear, docs["doc_id"].cast("long").eqNullSafe(unclear["_id"]), "left_semi"), "_simhash", options.get("shingle", SHINGLE))
-    about = named.select(F.col("fp").alias("_simhash"), F.col("root").alias("_root"), F.col("component_id").alias("_component"))
-    rows = rows.join(about, "_simhash").where(F.col("doc_id").cast("long").eqNullSafe(F.col("_component")))
-    first = rows.groupBy("_root").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct("_simhash", F.xxhash64("text"))).alias("_row"))
+    rows = with_key(docs.join(unclear, docs["doc_id"].cast("long").eqNullSafe(unclear["_id"]), "left_semi"), "_key", key)
+    ids = about.select(F.col("fp").alias("_key"), F.col("root").alias("_root"), F.col("component_id").alias("_component"))
+    rows = rows.join(ids, "_key").where(F.col("doc_id").cast("long").eqNullSafe(F.col("_component")))
+    first = rows.groupBy("_root").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct("_key", F.xxhash64("text"))).alias("_row"))
     return out.unionByName(first.select("_row.*"))
