@@ -19,7 +19,7 @@ from weftgraph.llm import packing, quality, simhash, toxicity
 from weftgraph.llm.common import materialize, table
 
 
-#: Candidates: fingerprints of word pairs at 5 bits or fewer, in six segments. Links: five-word shingles alike by 0.8.
+#: Compared first: fingerprints of word pairs at 5 bits or fewer, in six segments. Links: all five-word shingle sets alike by 0.8.
 SHINGLE, DISTANCE, SEGMENTS = 2, 5, 6
 VERIFY, SIMILARITY = 5, 0.8
 
@@ -35,7 +35,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts the document with the least doc_id; links have a five-word similarity of 0.8 or more."""
+    """Of each group of linked texts the document with the least doc_id; links are all pairs with a five-word similarity of 0.8 or more."""
     return simhash.keep_one(docs, shingle=SHINGLE, distance=DISTANCE, segments=SEGMENTS, similarity=SIMILARITY, verify=VERIFY)
 
 

@@ -500,3 +500,87 @@ def test_alike_equals_sets_compared_directly(spark):
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     found = simhash.alike(spark.createDataFrame(list(pairs), "x long, y long"), docs, 0.7, 2)
     assert {tuple(r) for r in found.collect()} == {p for p, good in pairs.items() if good}
+
+
+def alike_components(texts, similarity, shingle):
+    """The least index of each text's component, over all pairs compared directly."""
+    sets = [set(simhash.shingle_set(t, shingle).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j in range(len(texts)):
+        for i in range(j):
+            common = len(sets[i] & sets[j])
+            if simhash.normal(texts[i]) == simhash.normal(texts[j]) or (common and common >= similarity * (len(sets[i]) + len(sets[j]) - common)):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def test_every_alike_pair_links(spark):
+    """Short and long near copies, about the threshold and whatever their fingerprints, with a passage that most share."""
+    rng = random.Random(5)
+    say = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    passage = say(40)
+    texts = [None, "", "one two", "One  two", "one two three four five", " ".join(passage)]
+    for k in range(45):
+        base = say(rng.choice([6, 12, 30, 60, 150, 400])) + (passage if k % 3 else [])
+        for _ in range(6):
+            ws = list(base)
+            for _ in range(rng.randint(0, max(1, len(ws) // 40))):
+                ws[rng.randrange(len(ws))] = "changed" + str(rng.randrange(99))
+            texts.append(" ".join(ws[rng.choice([0, 0, 1, 2, 5]) :]))
+    rng.shuffle(texts)
+    want = alike_components(texts, 0.8, 5)
+    assert 60 < len(set(want)) < 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of_doc, about = simhash.similar_groups(docs, 0.8, 5, 5, 6, 512, 2)
+    got = dict(of_doc.join(about, "fp").select("doc_id", "component_id").collect())
+    assert [got[i] for i in range(len(texts))] == want
+    kept = simhash.keep_one(docs, shingle=2, distance=5, segments=6, similarity=0.8, verify=5)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+
+
+def test_one_bucket_of_many(spark, monkeypatch):
+    """Rows of a bucket over the size that is filtered at once, in blocks, and whatever the order of shingles."""
+    rng = random.Random(8)
+    texts = []
+    for i in range(700):
+        ws = [f"p{j}" for j in range(40)]
+        for _ in range(rng.choice([1, 1, 2])):
+            ws[rng.randrange(40)] = f"x{i % 350}"
+        texts.append(" ".join(ws))
+    want = alike_components(texts, 0.8, 5)
+    monkeypatch.setattr(simhash, "frequent", lambda docs, shingle: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of_doc, about = simhash.similar_groups(docs, 0.8, 5, 5, 6, 512, 2)
+    got = dict(of_doc.join(about, "fp").select("doc_id", "component_id").collect())
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_fitting_pairs_are_all_pairs_of_different_roots():
+    rng = np.random.default_rng(4)
+    for size, roots in ((1, 1), (9, 1), (40, 3), (300, 300), (1500, 20)):
+        n = rng.integers(1, 60, size)
+        at = rng.integers(0, 12, size)
+        root = rng.integers(0, roots, size)
+        got = [tuple(sorted(p)) for i, j in simhash.fitting_pairs(n, at, root, 0.8) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        x, y = np.nonzero(np.triu(simhash.fitting(n, at, n, at, 0.8) & (root[:, None] != root[None, :]), 1))
+        assert sorted(got) == list(zip(x.tolist(), y.tolist(), strict=True))
+
+
+def test_prefixes_of_alike_sets_meet():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        pool = rng.integers(-50, 50, rng.integers(1, 80))
+        a, b = (np.unique(rng.choice(pool, len(pool))) for _ in range(2))
+        values = np.unique(rng.integers(-50, 50, 30))
+        order = values, rng.integers(2, 9, len(values))
+        common = len(np.intersect1d(a, b))
+        for similarity in (0.3, 0.5, 0.8, 1.0):
+            if common >= similarity * (len(a) + len(b) - common):
+                assert set(simhash.prefix(a, order, similarity)) & set(simhash.prefix(b, order, similarity))

@@ -13,10 +13,15 @@ compared pair by pair: its fingerprints are keyed again on the same ring rule
 over the bits that the key leaves open, level by level, until the open bits
 bound what one key can hold. So nothing is capped and no bucket grows without
 bound. Buckets return trees of links, not all pairs.
+
+Links by a similarity of shingle sets are exact, too: fingerprints only find the
+likeliest pairs first. Whatever those leave apart is found by prefixes: alike
+sets share one of their first shingles in any one order, rare ones first.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -40,6 +45,10 @@ BUCKET = 512
 BROADCAST = 1_000_000
 #: Tasks over which the fingerprints of one component are dealt.
 SALTS = 32
+#: Rows sampled for the order of shingles, and the most shingles that the order tells apart by their number.
+SAMPLE, FREQUENT = 10_000, 100_000
+#: Rounding allowed for where bounds are compared; only makes candidates more.
+SLACK = 1e-6
 _STEP = 4096
 
 
@@ -273,40 +282,221 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "node long, s array<long>")
 
 
-def alike(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (x, y) of text classes with a Jaccard similarity of their shingle sets of at least so much.
+def least_common(size: int, similarity: float) -> int:
+    """The least number of shingles that a set of so many shares with any set so alike."""
+    return math.ceil(similarity * size - SLACK)
+
 
-    Only texts that stand in a pair have their sets made and moved.
+def prefix(s: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles of a set in the order of common, so many that alike sets share one of theirs.
+
+    A set shares least_common of its shingles or more, so not all of those can
+    lie behind the prefix; the first shared one, in one order for all sets, lies in both.
     """
-    ends = materialize(pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).distinct())
+    if not len(s):
+        return s
+    values, counts = common
+    rank = np.zeros(len(s), np.int64)
+    if len(values):
+        at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+        rank = np.where(values[at] == s, counts[at], 0)
+    return s[np.lexsort((s, rank))][: len(s) - least_common(len(s), similarity) + 1]
+
+
+def frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, of two or more texts in a sample of about SAMPLE rows, and in how many; the FREQUENT first ones.
+
+    They only decide an order, so that prefixes hold rare shingles; any sample gives the same links.
+    """
+    share = max(1, docs.count() // SAMPLE)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0)
+    one = shingle_sets(with_key(rows.select("text"), "node", text_class).select("node", "text"), shingle).dropDuplicates(["node"])
+    found = one.select(F.explode("s").alias("s")).groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(FREQUENT).toArrow()
+    values, counts = (c.to_numpy().astype(np.int64) for c in found.columns)
+    order = np.argsort(values)
+    return values[order], counts[order]
+
+
+def fitting(n: np.ndarray, at: np.ndarray, m: np.ndarray, bt: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m shingles with a first shared one at places at and bt can be so alike: a matrix."""
+    need = similarity / (1 + similarity) * (n[:, None] + m[None, :]) - SLACK
+    left = np.minimum((n - at)[:, None], (m - bt)[None, :])
+    return (left >= need) & (np.minimum(n[:, None], m[None, :]) >= similarity * np.maximum(n[:, None], m[None, :]) - SLACK)
+
+
+def fitting_pairs(n: np.ndarray, at: np.ndarray, root: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The index pairs of a bucket that fit and differ in root, block by block; the largest root's rows are not met by each other."""
+    roots, where, sizes = np.unique(root, return_inverse=True, return_counts=True)
+    if len(roots) < 2:
+        return
+    inside = where == np.argmax(sizes)
+    most, rest = np.flatnonzero(inside), np.flatnonzero(~inside)
+    step = max(1, (1 << 20) // len(rest))
+    for rows, square in ((most, False), (rest, True)):
+        for lo in range(0, len(rows), step):
+            i = rows[lo : lo + step]
+            good = fitting(n[i], at[i], n[rest], at[rest], similarity) & (root[i][:, None] != root[rest][None, :])
+            if square:
+                good &= i[:, None] < rest[None, :]
+            x, y = np.nonzero(good)
+            yield i[x], rest[y]
+
+
+def buckets(work: Callable[[np.ndarray], Iterator[list[np.ndarray]]], names: list[str]):
+    """A function of Arrow batches sorted by their first column that gives work(rows of one value) one after another.
+
+    Columns are 64-bit numbers; rows are a matrix with a line for each column. Output is gathered to batches of _STEP.
+    """
+    schema = pa.schema([(n, pa.int64()) for n in names])
+
+    def out(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            now = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            edges = [0, *(np.flatnonzero(np.diff(now[0])) + 1).tolist(), now.shape[1]]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if hi > lo:
+                    if held and held[0][0, 0] != now[0, lo]:
+                        yield np.concatenate(held, axis=1) if len(held) > 1 else held[0]
+                        held = []
+                    held.append(now[:, lo:hi])
+        if held:
+            yield np.concatenate(held, axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+        size = 0
+        for rows in whole(batches):
+            if rows.shape[1] > 1:
+                for found in work(rows):
+                    if len(found[0]):
+                        parts.append(found)
+                        size += len(found[0])
+                    if size >= _STEP:
+                        yield out(parts)
+                        parts, size = [], 0
+        if parts:
+            yield out(parts)
+
+    return run
+
+
+def by_bucket(rows: DataFrame, work: Callable[[np.ndarray], Iterator[list[np.ndarray]]], names: list[str]) -> DataFrame:
+    key = rows.columns[0]
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(buckets(work, names), ", ".join(f"{n} long" for n in names))
+
+
+def shared(distinct: DataFrame, similarity: float) -> DataFrame:
+    """(s, at, n, fp): each prefix shingle of two or more classes, of n shingles, that can be alike; at is its place."""
+
+    def work(rows: np.ndarray) -> Iterator[list[np.ndarray]]:
+        if rows.shape[1] > BUCKET:
+            yield list(rows)
+            return
+        _, at, n, _ = rows
+        good = fitting(n, at, n, at, similarity)
+        np.fill_diagonal(good, False)
+        yield list(rows[:, good.any(axis=1)])
+
+    rows = distinct.select(F.posexplode("prefix").alias("at", "s"), "n", "fp")
+    return by_bucket(rows.select("s", F.col("at").cast("long").alias("at"), "n", "fp"), work, ["s", "at", "n", "fp"])
+
+
+def neighbours(rows: DataFrame, similarity: float) -> DataFrame:
+    """(x, y): in each bucket of shared() the classes that follow each other, by number and by size."""
+
+    def work(rows: np.ndarray) -> Iterator[list[np.ndarray]]:
+        _, at, n, fp = rows
+        for order in (np.argsort(fp), np.lexsort((fp, n))):
+            i, j = order[:-1], order[1:]
+            good = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - SLACK
+            good &= np.minimum(n[i] - at[i], n[j] - at[j]) >= similarity / (1 + similarity) * (n[i] + n[j]) - SLACK
+            yield [np.minimum(fp[i], fp[j])[good], np.maximum(fp[i], fp[j])[good]]
+
+    return by_bucket(rows, work, ["x", "y"])
+
+
+def across(rows: DataFrame, similarity: float) -> DataFrame:
+    """(x, y): in each bucket of (s, at, n, fp, root) all classes of different roots that can be alike."""
+
+    def work(rows: np.ndarray) -> Iterator[list[np.ndarray]]:
+        _, at, n, fp, root = rows
+        for i, j in fitting_pairs(n, at, root, similarity):
+            yield [np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])]
+
+    return by_bucket(rows, work, ["x", "y"])
+
+
+def sets_of(ends: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, s): the shingle sets of the text classes in ends (node); only their texts have them made and moved."""
+    ends = materialize(ends.distinct())
     if ends.count() <= BROADCAST:
         ends = F.broadcast(ends)
     texts = with_key(docs.select(F.col("text").cast("string").alias("text")), "node", text_class)
     one = texts.join(ends, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    sets = materialize(shingle_sets(one.select("node", "text"), shingle))
+    return materialize(shingle_sets(one.select("node", "text"), shingle))
+
+
+def held(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (x, y) of text classes with a Jaccard similarity of their shingle sets of at least so much."""
     both = pairs.join(sets.select(F.col("node").alias("x"), F.col("s").alias("s")), "x").join(sets.select(F.col("node").alias("y"), F.col("s").alias("t")), "y")
     common = F.size(F.array_intersect("s", "t"))
     return both.where(common >= similarity * (F.size("s") + F.size("t") - common)).select("x", "y")
 
 
+def alike(pairs: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """As held(), with the sets of the texts in docs."""
+    return held(pairs, sets_of(ends_of(pairs), docs, shingle), similarity)
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))
+
+
 def similar_groups(docs: DataFrame, similarity: float, verify: int, distance: int, segments: int, bucket: int, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """As groups(), of text classes in place of fingerprints; a link holds where the classes' shingles are alike, too.
+    """As groups(), of text classes in place of fingerprints; two link exactly where the classes' shingles are so alike.
 
-    Candidates are the links between fingerprints, the nearest first, each by its
-    least class, and a fingerprint's other classes with its least.
+    First the likeliest pairs are held to the similarity: the links between
+    fingerprints, each by its least class, a fingerprint's other classes with its
+    least, and neighbours in the buckets of prefix shingles. What these connect is
+    not compared again. Then all other pairs that share a prefix shingle, and can
+    be alike by their sizes and its places, are: no alike pair is without one.
     """
+    common = frequent(docs, verify)
 
     def make():
-        return lambda texts: {"sim": np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64), "fp": [text_class(t) for t in texts]}
+        def work(texts: list) -> dict[str, list]:
+            sets = [shingle_set(t, verify) for t in texts]
+            return {
+                "sim": np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64),
+                "fp": [text_class(t) for t in texts],
+                "n": [len(s) for s in sets],
+                "prefix": [prefix(s, common, similarity) for s in sets],
+            }
+
+        return work
+
+    about = materialize(map_texts(docs, make, "sim long, fp long, n long, prefix array<long>"))
+    distinct = materialize(about.groupBy("fp").agg(F.min("sim").alias("sim"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.first("prefix").alias("prefix")))
+    rows = materialize(shared(distinct, similarity))
 
-    of_doc = materialize(map_texts(docs, make, "sim long, fp long"))
-    distinct = materialize(of_doc.groupBy("fp").agg(F.min("sim").alias("sim"), F.min("doc_id").alias("least")))
     centres = materialize(distinct.groupBy("sim").agg(F.min("fp").alias("centre"), F.count("*").alias("n")))
     near = links(centres.select(F.col("sim").alias("fp")), distance, segments, bucket).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = near.join(centres.select(F.col("sim").alias("a"), F.col("centre").alias("x")), "a").join(centres.select(F.col("sim").alias("b"), F.col("centre").alias("y")), "b")
-    same = distinct.join(centres.where("n > 1"), "sim").where("fp <> centre").select(F.col("fp").alias("x"), F.col("centre").alias("y"))
-    pairs = materialize(near.select("x", "y").unionByName(same))
-    return of_doc.select("doc_id", "fp"), named(distinct.select("fp", "least"), alike(pairs, docs, similarity, verify))
+    same = distinct.join(centres.where("n > 1").select("sim", "centre"), "sim").where("fp <> centre").select(F.col("fp").alias("x"), F.col("centre").alias("y"))
+    first = near.select("x", "y").unionByName(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    first = materialize(first.unionByName(neighbours(rows, similarity)).distinct())
+
+    sets = sets_of(ends_of(first).unionByName(rows.select(F.col("fp").alias("node"))), docs, verify)
+    found = materialize(held(first, sets, similarity))
+    roots = materialize(connected_components(found).select(F.col("node").alias("fp"), "root"))
+    rooted = rows.join(roots, "fp", "left").select("s", "at", "n", "fp", F.coalesce("root", "fp").alias("root"))
+    rest = across(rooted, similarity).distinct().join(first, ["x", "y"], "left_anti")
+    found = materialize(found.unionByName(held(rest, sets, similarity)))
+    return about.select("doc_id", "fp"), named(distinct.select("fp", "least"), found)
 
 
 def with_key(docs: DataFrame, name: str, key: Callable[[str | None], int]) -> DataFrame:
@@ -333,9 +523,9 @@ def keep_one(
     """One row of each component, with all its columns: that of the least doc_id.
 
     Of rows that repeat that doc_id, and of a component none of whose rows has
-    one, the row of the least key and text hash stays. With a similarity, links
-    hold only between texts whose sets of shingles of verify words have at least
-    that Jaccard similarity; equal word sequences always are one.
+    one, the row of the least key and text hash stays. With a similarity, texts
+    link exactly where their sets of shingles of verify words have at least that
+    Jaccard similarity, whatever the fingerprints; equal word sequences always are one.
     """
     if similarity is None:
         of_doc, about = groups(docs, distance, segments, bucket, shingle)
