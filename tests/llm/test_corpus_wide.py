@@ -584,3 +584,12 @@ def test_prefixes_of_alike_sets_meet():
         for similarity in (0.3, 0.5, 0.8, 1.0):
             if common >= similarity * (len(a) + len(b) - common):
                 assert set(simhash.prefix(a, order, similarity)) & set(simhash.prefix(b, order, similarity))
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for size in (0, 1, 15, 17, 90, 700):
+        a = np.unique(rng.integers(-(1 << 63), 1 << 63, size))
+        for other in (0, 3, 60, 900):
+            b = np.unique(np.concatenate([a[: size * 9 // 10], rng.integers(-(1 << 63), 1 << 63, other)]))
+            assert simhash.differing(simhash.sketch(a), simhash.sketch(b)) == simhash.differing(simhash.sketch(b), simhash.sketch(a)) <= len(np.setxor1d(a, b))

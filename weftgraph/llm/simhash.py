@@ -430,6 +430,41 @@ def across(rows: DataFrame, similarity: float) -> DataFrame:
     return by_bucket(rows, work, ["x", "y"])
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """For each of a power of two of bits, four to eight a shingle, whether an odd number of shingles fall on it."""
+    size = max(64, 1 << (4 * len(s) - 1).bit_length()) if len(s) else 64
+    odd = np.bincount(s & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """A number of bits that no more differ in than shingles lie in just one of the two sets.
+
+    The larger sketch is folded upon itself, which gives the set's sketch of half the size.
+    """
+    x, y = (np.frombuffer(v, np.uint64) for v in (a, b))
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def possible(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (x, y) whose sketches don't rule the similarity out: no alike pair goes."""
+    one, two = (distinct.select(F.col("fp").alias(k), F.col("n").alias("n" + k), F.col("sketch").alias("s" + k)) for k in "xy")
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            most = (1 - similarity) / (1 + similarity) * (b.column(2).to_numpy() + b.column(3).to_numpy()) + SLACK
+            bits = [differing(u, v) for u, v in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            good = pa.array(np.array(bits) <= most)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], schema=schema)
+
+    return pairs.join(one, "x").join(two, "y").select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(run, "x long, y long")
+
+
 def sets_of(ends: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """(node, s): the shingle sets of the text classes in ends (node); only their texts have them made and moved."""
     ends = materialize(ends.distinct())
@@ -463,7 +498,8 @@ def similar_groups(docs: DataFrame, similarity: float, verify: int, distance: in
     fingerprints, each by its least class, a fingerprint's other classes with its
     least, and neighbours in the buckets of prefix shingles. What these connect is
     not compared again. Then all other pairs that share a prefix shingle, and can
-    be alike by their sizes and its places, are: no alike pair is without one.
+    be alike by their sizes and its places, are: no alike pair is without one. Of
+    both, pairs that sketches rule out need no sets.
     """
     common = frequent(docs, verify)
 
@@ -475,12 +511,13 @@ def similar_groups(docs: DataFrame, similarity: float, verify: int, distance: in
                 "fp": [text_class(t) for t in texts],
                 "n": [len(s) for s in sets],
                 "prefix": [prefix(s, common, similarity) for s in sets],
+                "sketch": [sketch(s) for s in sets],
             }
 
         return work
 
-    about = materialize(map_texts(docs, make, "sim long, fp long, n long, prefix array<long>"))
-    distinct = materialize(about.groupBy("fp").agg(F.min("sim").alias("sim"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.first("prefix").alias("prefix")))
+    about = materialize(map_texts(docs, make, "sim long, fp long, n long, prefix array<long>, sketch binary"))
+    distinct = materialize(about.groupBy("fp").agg(F.min("sim").alias("sim"), F.min("doc_id").alias("least"), F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")))
     rows = materialize(shared(distinct, similarity))
 
     centres = materialize(distinct.groupBy("sim").agg(F.min("fp").alias("centre"), F.count("*").alias("n")))
@@ -490,12 +527,12 @@ def similar_groups(docs: DataFrame, similarity: float, verify: int, distance: in
     first = near.select("x", "y").unionByName(same).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     first = materialize(first.unionByName(neighbours(rows, similarity)).distinct())
 
-    sets = sets_of(ends_of(first).unionByName(rows.select(F.col("fp").alias("node"))), docs, verify)
-    found = materialize(held(first, sets, similarity))
+    found = materialize(alike(materialize(possible(first, distinct, similarity)), docs, similarity, verify))
     roots = materialize(connected_components(found).select(F.col("node").alias("fp"), "root"))
     rooted = rows.join(roots, "fp", "left").select("s", "at", "n", "fp", F.coalesce("root", "fp").alias("root"))
-    rest = across(rooted, similarity).distinct().join(first, ["x", "y"], "left_anti")
-    found = materialize(found.unionByName(held(rest, sets, similarity)))
+    rest = materialize(possible(across(rooted, similarity).distinct().join(first, ["x", "y"], "left_anti"), distinct, similarity))
+    if not rest.isEmpty():
+        found = materialize(found.unionByName(alike(rest, docs, similarity, verify)))
     return about.select("doc_id", "fp"), named(distinct.select("fp", "least"), found)
 
 
