@@ -190,3 +190,34 @@ def test_near_copies_of_five_words(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
     assert sorted(r.doc_id for r in kept) == originals
+
+
+def python_passes(plan) -> list[int]:
+    """How many Python passes each task of a plan holds one after another: each of them takes a worker of its own."""
+    found, below = [], [(plan, 0)]
+    while below:
+        node, n = below.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            below.append((node.executedPlan(), n))
+            continue
+        n += "InArrow" in name or "Python" in name
+        found.append(n)
+        children = node.children()
+        below += [(children.apply(i), 0 if "Exchange" in name else n) for i in range(children.size())]
+    return found
+
+
+def test_a_task_holds_one_python_worker(spark, sf_dir, monkeypatch):
+    """No stage gives what one Python pass makes to another in the same task; an executor keeps all workers that it ever had at once."""
+    most, frame = [], type(spark.range(0))
+
+    def plans(self, run, *args, f=frame.mapInArrow, **more):
+        out = f(self, run, *args, **more)
+        most.append(max(python_passes(out._jdf.queryExecution().executedPlan())))
+        return out
+
+    monkeypatch.setattr(frame, "mapInArrow", plans)
+    corpus_pipeline.run(spark, sf_dir)
+    assert len(most) > 10
+    assert set(most) == {1}

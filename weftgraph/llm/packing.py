@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialize
+from .common import materialize, release
 
 WINDOW = 4096
 END_ID = 2
@@ -99,15 +99,23 @@ class Ids:
         for border in (_BEFORE, _AFTER):
             cut = pc.replace_substring_regex(cut, border, r"\1 \2")
         split = pc.ascii_split_whitespace(cut)
+        edges = split.offsets.to_numpy() - split.offsets[0].as_py()
         found = split.flatten().dictionary_encode()
+        del cut, split
+        pa.default_memory_pool().release_unused()
         codes = found.indices.to_numpy()
         ids = self.known(found.dictionary.cast(pa.binary()).to_pylist())
-        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first = np.cumsum(lens) - lens
+        # there are no more ids than bytes, so the numbers of Arrow's offsets do
+        lens = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        first = np.cumsum(lens, dtype=np.int32) - lens
         each = lens[codes]
-        upto = np.concatenate([[0], np.cumsum(each)])
-        whole = np.frombuffer(b"".join(ids), "<u4")[np.repeat(first[codes] - upto[:-1], each) + np.arange(upto[-1])]
-        edges = upto[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        upto = np.concatenate([np.zeros(1, np.int32), np.cumsum(each, dtype=np.int32)])
+        at = np.repeat(first[codes] - upto[:-1], each)
+        del found, codes, each
+        at += np.arange(len(at), dtype=np.int32)
+        whole = np.frombuffer(b"".join(ids), "<u4")[at]
+        edges = upto[edges].tolist()
+        del ids, at, upto
         end = np.array([END_ID], "<u4")
         return [np.concatenate([whole[a:b], end]) for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -152,6 +160,8 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                 narrow = [x.astype("<u2") if x.max() < 1 << 16 else x for x in ids]
                 data = [bytes([x.itemsize]) + zstd.compress(x.tobytes()) for x in narrow]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([route(x) for x in ids], pa.int64()), pa.array(data, pa.binary())], schema=schema)
+                del ids, narrow, data
+                release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, route long, ids binary")
@@ -321,6 +331,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, shard_docs: int = SHA
                 writer.add(ids[i], docs[i])
             ids.clear()
             docs.clear()
+            release()
             if rows := writer.take():
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 

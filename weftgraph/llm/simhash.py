@@ -310,7 +310,12 @@ def frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """
     share = max(1, docs.count() // SAMPLE)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0)
-    one = shingle_sets(with_key(rows.select("text"), "node", text_class).select("node", "text"), shingle).dropDuplicates(["node"])
+
+    def make():
+        return lambda texts: {"node": [text_class(t) for t in texts], "s": [shingle_set(t, shingle) for t in texts]}
+
+    # keys and sets in one pass: of two in a row each holds a Python worker, and all four of an executor's then stay and take turns
+    one = map_texts(rows, make, "node long, s array<long>").dropDuplicates(["node"])
     found = one.select(F.explode("s").alias("s")).groupBy("s").count().where("count > 1").orderBy(F.desc("count"), "s").limit(FREQUENT).toArrow()
     values, counts = (c.to_numpy().astype(np.int64) for c in found.columns)
     order = np.argsort(values)
