@@ -593,3 +593,25 @@ def test_sketches_bound_the_difference():
         for other in (0, 3, 60, 900):
             b = np.unique(np.concatenate([a[: size * 9 // 10], rng.integers(-(1 << 63), 1 << 63, other)]))
             assert simhash.differing(simhash.sketch(a), simhash.sketch(b)) == simhash.differing(simhash.sketch(b), simhash.sketch(a)) <= len(np.setxor1d(a, b))
+
+
+def test_a_pair_is_made_once_and_held_to_sketches(spark):
+    """Classes that share many prefix shingles are one row, in the bucket of the first; those that sketches rule out are none."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(2**62), 2**62, 60)
+    sets = [base, np.concatenate([base[:57], rng.integers(-(2**62), 2**62, 3)]), np.concatenate([base[:30], rng.integers(-(2**62), 2**62, 30)])]
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows = [(i, len(s), simhash.prefix(np.unique(s), none, 0.8).tolist(), simhash.sketch(s)) for i, s in enumerate(sets)]
+    assert len(set(rows[0][2]) & set(rows[1][2])) > 1
+    distinct = spark.createDataFrame(rows, "fp long, n long, prefix array<long>, sketch binary")
+    rooted = simhash.shared(distinct, 0.8).withColumn("root", F.col("fp")).select("s", "at", "n", "fp", "root")
+    assert [tuple(r) for r in simhash.across(rooted, distinct, 0.8).collect()] == [(0, 1)]
+
+
+def test_few_edges_give_the_components_of_many(spark):
+    rng = random.Random(8)
+    pairs = [(rng.randint(-(2**40), 2**40) * 2 + 1, 7)] + [(i, i + 1) for i in range(100, 400)] + [(rng.randint(1000, 2000), rng.randint(1000, 2000)) for _ in range(450)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    want = sorted(map(tuple, connected_components(edges).collect()))
+    assert sorted(map(tuple, connected_components(edges, few=1000).collect())) == want
+    assert connected_components(edges.limit(0), few=1000).count() == 0

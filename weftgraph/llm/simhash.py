@@ -43,6 +43,8 @@ SEED = 42
 BUCKET = 512
 #: Text classes of 8 bytes up to which they are sent to every task.
 BROADCAST = 1_000_000
+#: Links of alike texts up to which one task goes through their components: the rounds of more cost a hundred shuffles.
+FEW = 500_000
 #: Tasks over which the fingerprints of one component are dealt.
 SALTS = 32
 #: Rows sampled for the order of shingles, and the most shingles that the order tells apart by their number.
@@ -226,9 +228,9 @@ def groups(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS,
     return of_doc, named(distinct, links(distinct.select("fp"), distance, segments, bucket))
 
 
-def named(distinct: DataFrame, found: DataFrame) -> DataFrame:
+def named(distinct: DataFrame, found: DataFrame, few: int = 0) -> DataFrame:
     """(fp, root, component_id) of each row of distinct (fp, least) by the links found."""
-    roots = materialize(connected_components(found).withColumnRenamed("node", "fp"))
+    roots = materialize(connected_components(found, few=few).withColumnRenamed("node", "fp"))
     ids = roots.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     # a component of very many fingerprints meets its id in SALTS tasks
     ids = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -347,36 +349,41 @@ def fitting_pairs(n: np.ndarray, at: np.ndarray, root: np.ndarray, similarity: f
             yield i[x], rest[y]
 
 
-def buckets(work: Callable[[np.ndarray], Iterator[list[np.ndarray]]], names: list[str]):
+def buckets(work: Callable[..., Iterator[list[np.ndarray]]], names: list[str]):
     """A function of Arrow batches sorted by their first column that gives work(rows of one value) one after another.
 
-    Columns are 64-bit numbers; rows are a matrix with a line for each column. Output is gathered to batches of _STEP.
+    Rows are a matrix with a line for each column of 64-bit numbers; other columns follow as Arrow arrays. Output is gathered to batches of _STEP.
     """
     schema = pa.schema([(n, pa.int64()) for n in names])
 
     def out(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], schema=schema)
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        held: list[np.ndarray] = []
+    def joined(held: list[tuple[np.ndarray, list[pa.Array]]]) -> tuple[np.ndarray, list[pa.Array]]:
+        return held[0] if len(held) == 1 else (np.concatenate([h for h, _ in held], axis=1), [pa.concat_arrays(c) for c in zip(*(m for _, m in held), strict=True)])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+        held: list[tuple[np.ndarray, list[pa.Array]]] = []
         for batch in batches:
-            now = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            plain = [pa.types.is_int64(c.type) for c in batch.columns]
+            now = np.stack([c.to_numpy(zero_copy_only=False) for c, p in zip(batch.columns, plain, strict=True) if p])
+            more = [c for c, p in zip(batch.columns, plain, strict=True) if not p]
             edges = [0, *(np.flatnonzero(np.diff(now[0])) + 1).tolist(), now.shape[1]]
             for lo, hi in zip(edges, edges[1:], strict=False):
                 if hi > lo:
-                    if held and held[0][0, 0] != now[0, lo]:
-                        yield np.concatenate(held, axis=1) if len(held) > 1 else held[0]
+                    if held and held[0][0][0, 0] != now[0, lo]:
+                        yield joined(held)
                         held = []
-                    held.append(now[:, lo:hi])
+                    held.append((now[:, lo:hi], [c.slice(lo, hi - lo) for c in more]))
         if held:
-            yield np.concatenate(held, axis=1)
+            yield joined(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
         size = 0
-        for rows in whole(batches):
+        for rows, more in whole(batches):
             if rows.shape[1] > 1:
-                for found in work(rows):
+                for found in work(rows, *more):
                     if len(found[0]):
                         parts.append(found)
                         size += len(found[0])
@@ -389,7 +396,7 @@ def buckets(work: Callable[[np.ndarray], Iterator[list[np.ndarray]]], names: lis
     return run
 
 
-def by_bucket(rows: DataFrame, work: Callable[[np.ndarray], Iterator[list[np.ndarray]]], names: list[str]) -> DataFrame:
+def by_bucket(rows: DataFrame, work: Callable[..., Iterator[list[np.ndarray]]], names: list[str]) -> DataFrame:
     key = rows.columns[0]
     return rows.repartition(key).sortWithinPartitions(key).mapInArrow(buckets(work, names), ", ".join(f"{n} long" for n in names))
 
@@ -424,17 +431,6 @@ def neighbours(rows: DataFrame, similarity: float) -> DataFrame:
     return by_bucket(rows, work, ["x", "y"])
 
 
-def across(rows: DataFrame, similarity: float) -> DataFrame:
-    """(x, y): in each bucket of (s, at, n, fp, root) all classes of different roots that can be alike."""
-
-    def work(rows: np.ndarray) -> Iterator[list[np.ndarray]]:
-        _, at, n, fp, root = rows
-        for i, j in fitting_pairs(n, at, root, similarity):
-            yield [np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])]
-
-    return by_bucket(rows, work, ["x", "y"])
-
-
 def sketch(s: np.ndarray) -> bytes:
     """For each of a power of two of bits, four to eight a shingle, whether an odd number of shingles fall on it."""
     size = max(64, 1 << (4 * len(s) - 1).bit_length()) if len(s) else 64
@@ -455,6 +451,37 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def may_differ(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """The most shingles that lie in just one of two so alike sets of n and m."""
+    return (1 - similarity) / (1 + similarity) * (n + m) + SLACK
+
+
+def across(rows: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """(x, y), each once: in the buckets of (s, at, n, fp, root) all classes of different roots that sizes, places and sketches let be alike.
+
+    A pair is looked at in the bucket of its first shared shingle alone. Each
+    row brings its sketch and the shingles before its place, where its bucket
+    has more than one root.
+    """
+
+    def work(rows: np.ndarray, before: pa.Array, sketches: pa.Array) -> Iterator[list[np.ndarray]]:
+        _, at, n, fp, root = rows
+        sets: list[set[int]] = []
+        for i, j in fitting_pairs(n, at, root, similarity):
+            if len(i) and not sets:
+                sets = [set(v) for v in before.to_pylist()]
+                bits = sketches.to_pylist()
+            most = may_differ(n[i], n[j], similarity)
+            good = [sets[a].isdisjoint(sets[b]) and differing(bits[a], bits[b]) <= m for a, b, m in zip(i.tolist(), j.tolist(), most.tolist(), strict=True)]
+            i, j = i[good], j[good]
+            yield [np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])]
+
+    several = rows.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s")
+    rows = rows.join(several, "s", "left_semi").join(distinct.select("fp", "prefix", "sketch"), "fp")
+    rows = rows.select("s", "at", "n", "fp", "root", F.slice("prefix", F.lit(1), F.col("at").cast("int")).alias("before"), "sketch")
+    return by_bucket(rows, work, ["x", "y"])
+
+
 def possible(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
     """The pairs (x, y) whose sketches don't rule the similarity out: no alike pair goes."""
     one, two = (distinct.select(F.col("fp").alias(k), F.col("n").alias("n" + k), F.col("sketch").alias("s" + k)) for k in "xy")
@@ -462,7 +489,7 @@ def possible(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            most = (1 - similarity) / (1 + similarity) * (b.column(2).to_numpy() + b.column(3).to_numpy()) + SLACK
+            most = may_differ(b.column(2).to_numpy(), b.column(3).to_numpy(), similarity)
             bits = [differing(u, v) for u, v in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
             good = pa.array(np.array(bits) <= most)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], schema=schema)
@@ -533,12 +560,12 @@ def similar_groups(docs: DataFrame, similarity: float, verify: int, distance: in
     first = materialize(first.unionByName(neighbours(rows, similarity)).distinct())
 
     found = materialize(alike(materialize(possible(first, distinct, similarity)), docs, similarity, verify))
-    roots = materialize(connected_components(found).select(F.col("node").alias("fp"), "root"))
+    roots = materialize(connected_components(found, few=FEW).select(F.col("node").alias("fp"), "root"))
     rooted = rows.join(roots, "fp", "left").select("s", "at", "n", "fp", F.coalesce("root", "fp").alias("root"))
-    rest = materialize(possible(across(rooted, similarity).distinct().join(first, ["x", "y"], "left_anti"), distinct, similarity))
+    rest = materialize(across(rooted, distinct, similarity).join(first, ["x", "y"], "left_anti"))
     if not rest.isEmpty():
         found = materialize(found.unionByName(alike(rest, docs, similarity, verify)))
-    return about.select("doc_id", "fp"), named(distinct.select("fp", "least"), found)
+    return about.select("doc_id", "fp"), named(distinct.select("fp", "least"), found, FEW)
 
 
 def with_key(docs: DataFrame, name: str, key: Callable[[str | None], int]) -> DataFrame:
