@@ -471,10 +471,12 @@ def across(rows: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame
             if len(i) and not sets:
                 sets = [set(v) for v in before.to_pylist()]
                 bits = sketches.to_pylist()
-            most = may_differ(n[i], n[j], similarity)
-            good = [sets[a].isdisjoint(sets[b]) and differing(bits[a], bits[b]) <= m for a, b, m in zip(i.tolist(), j.tolist(), most.tolist(), strict=True)]
-            i, j = i[good], j[good]
-            yield [np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])]
+            for lo in range(0, len(i), _STEP):
+                x, y = i[lo : lo + _STEP], j[lo : lo + _STEP]
+                most = may_differ(n[x], n[y], similarity)
+                good = [sets[a].isdisjoint(sets[b]) and differing(bits[a], bits[b]) <= m for a, b, m in zip(x.tolist(), y.tolist(), most.tolist(), strict=True)]
+                x, y = x[good], y[good]
+                yield [np.minimum(fp[x], fp[y]), np.maximum(fp[x], fp[y])]
 
     several = rows.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("s")
     rows = rows.join(several, "s", "left_semi").join(distinct.select("fp", "prefix", "sketch"), "fp")
