@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, ByteType, DoubleType, StructField, StructType
 
-from ..operators.lineage import cut, small
+from ..operators.lineage import cut
 from ..schema import CODE_LABELS
 from . import text as T
 
 DIM = 256
+#: Vectors that a task makes at once.
+ROWS = 1024
 VECTOR_WEIGHT, TEXT_WEIGHT = 0.55, 0.30
 #: A strategy turns a table, the name of its id and a text column into (id, vec).
 Strategy = Callable[[DataFrame, str, Column], DataFrame]
@@ -66,33 +72,78 @@ def round4(c: Column) -> Column:
     return F.floor(c * 10000 + 0.5) / 10000
 
 
-def grams(df: DataFrame, id: str, text: Column) -> DataFrame:
-    """(id, g, size): each word of a text by its length, each pair of neighbouring letters by a half, added up."""
-    words = df.select(F.col(id).alias("id"), F.explode(T.split_identifier(text)).alias("w")).groupBy("id", "w").agg(F.count("*").alias("n"))
-    n = F.length("w")
-    each = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))
-    pairs = words.where(n > 1).select("id", F.explode(each).alias("g"), (F.col("n") * 0.5).alias("size"))
-    whole = words.select("id", F.col("w").alias("g"), (F.col("n") * (F.least(n, F.lit(4)) + 1.0)).alias("size"))
-    return whole.unionByName(pairs).groupBy("id", "g").agg(F.sum("size").alias("size"))
+def hash32_text(s: str) -> int:
+    """hash32() of a Python string."""
+    h = 2166136261
+    for c in map(ord, s):
+        if c:
+            x = h ^ c
+            h = int(float(x - 4294967296 if x >= 2147483648 else x) * 16777619.0 % 4294967296.0)
+    return h
 
 
-def embed(df: DataFrame, id: str, text: Column) -> DataFrame:
-    """(id, vec): the hashed vector of each text, of length one; a text without words gives zero.
+@lru_cache(maxsize=1 << 16)
+def _signed(gram: str, size: float) -> tuple[int, float]:
+    h = hash32_text(gram)
+    return h % DIM, size if h % 2 == 0 else -size
 
-    A word or pair of letters is hashed once, however many texts hold it.
-    Contributions are summed per index with partial aggregation, then laid out
-    densely.
+
+@lru_cache(maxsize=1 << 14)
+def _grams(word: str) -> tuple[tuple[int, float], ...]:
+    """(index, contribution): the word by its length, each pair of neighbouring letters by a half."""
+    pairs = (_signed(word[i : i + 2], 0.5) for i in range(len(word) - 1))
+    return (_signed(word, min(len(word), 4) + 1.0), *pairs)
+
+
+def _vectors(batches: Iterator[pa.RecordBatch], made: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """made(rows, sums) of rows (id, ..., words) in order of id: of rows of one id the first, with the sum of all.
+
+    Contributions are multiples of a half, so that sums are exact in any order.
     """
-    rows = grams(df, id, text)
-    hashed = small(cut(rows.select("g").distinct().select("g", hash32(F.col("g")).alias("h"))))
-    signed = F.when(F.col("h") % 2 == 0, F.col("size")).otherwise(-F.col("size"))
-    sums = rows.join(hashed, "g").groupBy("id", (F.col("h") % DIM).cast("int").alias("i")).agg(F.sum(signed).alias("w"))
-    # at most DIM entries a text, laid out with zeros between them
-    sparse = sums.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("e"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
-    start = lambda j: F.when(j > 0, F.get("e", j - 1)["i"] + 1).otherwise(0)
-    filled = F.transform("e", lambda x, j: F.concat(F.array_repeat(F.lit(0.0), x["i"] - start(j)), F.array(F.when(F.col("n") > 0, x["w"] / F.col("n")).otherwise(0.0))))
-    dense = F.concat(F.flatten(filled), F.array_repeat(F.lit(0.0), DIM - 1 - F.element_at("e", -1)["i"]))
-    return df.select(F.col(id).alias("id")).distinct().join(sparse, "id", "left").select("id", F.coalesce(dense, F.array_repeat(F.lit(0.0), DIM)).alias("vec"))
+    held, sums = None, np.zeros((0, DIM))
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        ids, at, sizes, firsts = batch.column(0).to_pylist(), [], [], []
+        for j, words in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            if not j or ids[j] != ids[j - 1]:
+                firsts.append(j)
+            base = (len(firsts) - 1) * DIM
+            for w in words.split(" ") if words else ():
+                for i, size in _grams(w):
+                    at.append(base + i)
+                    sizes.append(size)
+        rows, more = batch.take(pa.array(firsts)), np.bincount(np.array(at, dtype=np.int64), np.array(sizes), len(firsts) * DIM).reshape(-1, DIM)
+        if held is not None and held.column(0)[0].as_py() == ids[0]:
+            more[0] += sums[0]
+        elif held is not None:
+            rows, more = pa.concat_batches([held, rows]), np.concatenate([sums, more])
+        # the next batch may go on with the last id
+        held, sums = rows.slice(rows.num_rows - 1), more[-1:]
+        if rows.num_rows > 1:
+            yield made(rows.slice(0, rows.num_rows - 1), more[:-1])
+    if held is not None:
+        yield made(held, sums)
+
+
+def embed(df: DataFrame, id: str, text: Column, *more: str, quantized: bool = False) -> DataFrame:
+    """(id, more, vec): the hashed vector of each text, of length one; a text without words gives zero. Texts of one id add up.
+
+    Texts are dealt out by id, each task sums its own: no word or pair of
+    letters is a key, so a frequent one is no load on one task, and a task holds
+    a sorted run that can spill and ROWS vectors. quantized gives quantize() of
+    the vector.
+    """
+
+    def made(rows: pa.RecordBatch, sums: np.ndarray) -> pa.RecordBatch:
+        length = np.sqrt((sums * sums).sum(axis=1))
+        values = sums / np.where(length > 0, length, 1.0)[:, None]
+        if quantized:
+            values = np.clip(np.floor(values * 127 + 0.5), -128, 127).astype(np.int8)
+        vec = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * DIM), pa.array(values.ravel()))
+        return pa.RecordBatch.from_arrays([*rows.columns[:-1], vec], names=[*rows.schema.names[:-1], "vec"])
+
+    rows = df.select(F.col(id).alias("id"), *more, T.normalize_identifier(text).alias("_words"))
+    out = StructType([*rows.schema.fields[:-1], StructField("vec", ArrayType(ByteType() if quantized else DoubleType()))])
+    return rows.repartition("id").sortWithinPartitions("id").mapInArrow(lambda batches: _vectors(batches, made), out)
 
 
 def node_text() -> Column:
@@ -105,7 +156,9 @@ def build_index(nodes: DataFrame, project: str | None = None, strategy: Strategy
     """schema.EMBEDDINGS of the nodes with a name and a label of code; strategy makes the vectors of (df, id, text), by default embed()."""
     mine = nodes if project is None else nodes.where(F.col("project") == project)
     used = mine.where(F.col("label").isin(*CODE_LABELS) & (F.trim("name") != ""))
-    return (strategy or embed)(used, "id", node_text()).join(used.select("id", "project"), "id").select(F.col("id").alias("node_id"), "project", quantize(F.col("vec")).alias("vec"))
+    if strategy is None:
+        return embed(used, "id", node_text(), "project", quantized=True).withColumnRenamed("id", "node_id")
+    return strategy(used, "id", node_text()).join(used.select("id", "project"), "id").select(F.col("id").alias("node_id"), "project", quantize(F.col("vec")).alias("vec"))
 
 
 def query_vector(spark, text: str) -> list[float]:
@@ -121,6 +174,33 @@ def cosine_top(vectors: DataFrame, id: str, vec: str, query: list[float], k: int
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
+def cosines(embeddings: DataFrame, query: list[float]) -> DataFrame:
+    """(id, cos): cosine(dequantize(vec), query), to the last bit, as sums run from the first element on."""
+    q = np.array(query, dtype=np.float64)
+
+    def total(x: np.ndarray) -> np.ndarray:
+        return np.cumsum(x, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+
+    def of(x: np.ndarray) -> np.ndarray:
+        n = min(x.shape[1], len(q))
+        x, y = x[:, :n] / 127.0, q[None, :n]
+        norm = np.sqrt(total(x * x)) * np.sqrt(total(y * y))
+        return np.where(norm > 0, total(x * y) / np.where(norm > 0, norm, 1.0), 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+            vec = batch.column(1)
+            sizes = set(vec.value_lengths().to_pylist())
+            if len(sizes) == 1 and None not in sizes and vec.flatten().null_count == 0:
+                cos = of(vec.flatten().to_numpy().reshape(batch.num_rows, -1) if sizes != {0} else np.zeros((batch.num_rows, 0)))
+            else:
+                cos = [of(np.array([v or []], dtype=np.float64).reshape(1, -1))[0] for v in vec.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cos, pa.float64())], names=["id", "cos"])
+
+    rows = embeddings.select(F.col("node_id").alias("id"), "vec")
+    return rows.mapInArrow(run, StructType([rows.schema["id"], StructField("cos", DoubleType())]))
+
+
 def semantic_query(
     nodes: DataFrame,
     embeddings: DataFrame,
@@ -137,14 +217,13 @@ def semantic_query(
     Text ranks are scaled within BM25 hits, and within substring hits below
     them; nodes that the text doesn't find get 0 for it.
     """
-    if embeddings.isEmpty():
+    # an index that is not stored yet is made once, and only its cosines are kept
+    out = cut(cosines(embeddings, query_vector(nodes.sparkSession, text)))
+    if out.isEmpty():
         raise ValueError("no vectors; build the index first")
-    q = F.array(*[F.lit(float(x)) for x in query_vector(nodes.sparkSession, text)])
-    out = embeddings.select(F.col("node_id").alias("id"), cosine(dequantize(F.col("vec")), q).alias("cos"))
     hits = T.search_text(nodes, text, max(limit * 10, 20))
-    bounds = hits.agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
-    span = F.col("hi") - F.col("lo")
-    fts = hits.join(F.broadcast(bounds), F.lit(True)).select("id", F.when(span == 0, 1.0).otherwise(1 - (F.col("rank") - F.col("lo")) / span).alias("fts"))
+    lo, hi = (f("rank").over(Window.partitionBy()) for f in (F.min, F.max))  # over `limit` * 10 rows
+    fts = hits.select("id", F.when(hi == lo, 1.0).otherwise(1 - (F.col("rank") - lo) / (hi - lo)).alias("fts"))
     out = out.join(F.broadcast(fts), "id", "left")  # `limit` * 10 rows
     score = F.lit(vector_weight) * F.col("cos") + F.lit(text_weight) * F.coalesce("fts", F.lit(0.0))
     if with_signals:
