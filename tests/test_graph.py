@@ -159,6 +159,19 @@ def test_text_search(words):
     assert df["demo"] == 4 and df["cache"] == 1
 
 
+def test_text_is_read_once_where_it_lies(spark, words):
+    """Search, signals and counts explode no text and agree with the inverted index, also where a phrase overlaps itself."""
+    more = words.unionByName(spark.createDataFrame([(5, "p", "Type", "a", "a.a.a", "A a", "aa, a; a a á ab", "x"), (6, "p", "Type", None, None, None, None, None)], words.schema))
+    for text in ("a.a", "a", "user", "a.a.a user", "get.user", "missing"):
+        assert "Generate" not in _plan(T.bm25(more, text))
+        assert {r.id: r.score for r in T.bm25(more, text).collect()} == {r.id: r.score for r in T.bm25(more, text, index=T.postings(more)).collect()}
+    assert "Generate" not in _plan(T.signals(more, "user login", "demo"))
+    want = {(r.col, r.term): (r.places, r.nodes) for r in T.postings(more).groupBy("col", "term").agg(F.count("*").alias("places"), F.countDistinct("id").alias("nodes")).collect()}
+    assert {(r.col, r.term): (r.places, r.nodes) for r in T.term_counts(more).collect()} == want
+    assert {(r.col, r.term): (r.places, r.nodes) for r in T.term_counts(more.unionByName(more)).collect()} == {k: (2 * p, n) for k, (p, n) in want.items()}
+    assert "Generate" not in _plan(T.term_counts(more))
+
+
 def hash32(s):
     h = 2166136261
     for ch in s:
@@ -198,6 +211,40 @@ def test_semantic_query(words):
         V.semantic_query(words, index.limit(0), "x")
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_embedding_has_no_hot_key(spark):
+    """Words and pairs of letters that all texts share are no key of a join; texts of one id add up wherever batches end, and values are those of columns."""
+    rows = [(i // 2, "p", f"order_{i // 2} sales é") for i in range(4 * V.ROWS)] + [(None, "p", None), (-1, "p", None)]
+    df = spark.createDataFrame(rows, "id long, project string, t string")
+    made = V.embed(df, "id", F.col("t"), "project")
+    assert "Join" not in _plan(made) and "Generate" not in _plan(made)
+    got = {r.id: r.vec for r in made.collect()}
+    assert made.columns == ["id", "project", "vec"] and len(got) == made.count() == 2 * V.ROWS + 2 and set(got[-1]) == {0.0}
+    want = [0.0] * 256
+    for w in ("order", "77", "sales", "é"):
+        for g, size in [(w, 1 + min(len(w), 4)), *((w[i : i + 2], 0.5) for i in range(len(w) - 1))]:
+            want[hash32(g) % 256] += 2 * size if hash32(g) % 2 == 0 else -2 * size
+    norm = math.sqrt(sum(x * x for x in want))
+    assert got[77] == [x / norm for x in want]
+    small = V.embed(df, "id", F.col("t"), quantized=True)
+    steps = made.select("id", V.quantize(F.col("vec")).alias("a")).join(small.select("id", F.col("vec").alias("b")), "id")
+    assert steps.where("a = b").count() == steps.count() == 2 * V.ROWS + 1
+
+
+def test_index_and_cosines_move_no_vectors(spark, words):
+    """A vector stays in the task that made it; cosines are those of columns to the last bit."""
+    index = V.build_index(words)
+    assert "Join" not in _plan(index) and index.columns == ["node_id", "project", "vec"]
+    q = V.query_vector(spark, "find user by id")
+    odd = spark.createDataFrame([(7, "p", [1, -3]), (8, "p", []), (9, "p", None)], "node_id long, project string, vec array<tinyint>")
+    for vectors in (index, index.unionByName(odd), odd.where("node_id = 8")):
+        want = vectors.select("node_id", V.cosine(V.dequantize(F.col("vec")), F.array(*[F.lit(x) for x in q])).alias("c"))
+        assert {r.id: r.cos for r in V.cosines(vectors, q).collect()} == {r.node_id: r.c for r in want.collect()}
+
+
 def test_upsert_and_prune(spark, nodes, edges):
     projects = spark.createDataFrame([("p", "/a", 1, 1, 10, 10)], schema.PROJECTS)
     new = spark.createDataFrame([("p", "/b", 0, 0, 20, 20), ("q", "/q", 0, 0, 20, 20)], schema.PROJECTS)
