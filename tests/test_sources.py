@@ -259,3 +259,41 @@ def test_long_signatures_stay_whole():
     params = ", ".join(f"parameter{i}: number" for i in range(40))
     found = [e["signature"] for e in extract.facts("typescript", "a.ts", f"function long({params}) {{\n}}\n") if e["kind"] == "define"]
     assert found == [f"function long({params})"]
+
+
+def test_extraction_passes_facts_on_in_pieces(spark, monkeypatch):
+    """A worker never holds the facts of a whole Arrow batch, nor makes one batch of them."""
+    import pyarrow as pa
+
+    given = []
+    df = spark.createDataFrame([("p", "a.py", "python", PY)], "project string, path string, lang string, content string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, out: given.append(run) or self)
+    extract.extract(df)
+    n = 4 * extract.SLICE
+    files_ = pa.RecordBatch.from_pylist([{"project": "p", "path": f"a{i}.py", "lang": "python", "content": PY} for i in range(n - 1)] + [{"project": "p", "path": "long.py", "lang": "python", "content": "f()\n" * 3 * extract.FACTS}])
+    read = []
+    monkeypatch.setattr(extract, "facts", lambda *a, f=extract.facts: read.append(a[1]) or f(*a))
+    made = given[0](iter([files_]))
+    assert 0 < next(made).num_rows <= extract.FACTS and len(read) <= extract.SLICE
+    sizes = [b.num_rows for b in made]
+    assert max(sizes) <= extract.FACTS and len(read) == n and sum(sizes) > 3 * extract.FACTS
+
+
+def test_graph_is_built_without_the_driver(spark, sf_dir):
+    """Joins of tables that both grow are merged, however small Spark takes one side for."""
+    from weftgraph.plans import catalogue, code_catalogue  # noqa: F401  the latter adds its queries to the former
+
+    for name in ("index_calls", "index_imports", "index_inherits"):
+        df = catalogue.QUERIES[name](spark, sf_dir)
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_enclosing_joins_only_spans_around_a_point(spark):
+    """Spans of the same lines that are not around a point are no rows; of nested ones the innermost counts."""
+    spans = spark.createDataFrame([("p", i, 0, i, 9, i) for i in range(60)] + [("p", 0, 0, 200, 0, 99)], "path string, sl int, sc int, el int, ec int, id long")
+    points = spark.createDataFrame([("p", 5, 3, "x"), ("p", 5, 9, "y"), ("p", 190, 0, "z"), ("q", 5, 3, None)], "path string, sl int, sc int, name string")
+    df = resolve.enclosing(points, spans, ["path"])
+    assert {(r.path, r.name): r.inside for r in df.collect()} == {("p", "x"): 5, ("p", "y"): 99, ("p", "z"): 99, ("q", None): None}
+    join = next(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+    assert "_start" in join and "_end" in join

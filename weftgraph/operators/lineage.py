@@ -33,3 +33,8 @@ def cut(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, most: int = SMALL) -> DataFrame:
     """df, marked for broadcast if it has no more than so many rows."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """df, as a side of a join whose sides both grow: sorted and merged, never sent through the driver, whatever its size is taken for."""
+    return df.hint("merge")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import small
+from .lineage import merged, small
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], keep: Sequence[str] = (), order: str = "updated_at") -> DataFrame:
@@ -25,7 +25,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], keep:
 
 def insert_missing(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Incoming rows whose keys aren't there yet are added, one for each key."""
-    fresh = incoming.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+    fresh = incoming.dropDuplicates(list(keys)).join(merged(existing.select(*keys)), list(keys), "left_anti")
     return existing.unionByName(fresh.select(existing.columns))
 
 
@@ -54,7 +54,7 @@ def prune(nodes: DataFrame, edges: DataFrame, files: DataFrame, gone: DataFrame)
     kept = edges.join(renamed(lost, "src"), "src", "left_anti")
     marked = kept.join(renamed(lost, "dst").withColumn("_lost", F.lit(True)), "dst", "left")
     out = marked.withColumn("dst", F.when(F.col("_lost").isNull(), F.col("dst"))).withColumn("confidence", F.when(F.col("_lost").isNull(), F.col("confidence")).otherwise("usage"))
-    return left, out.select(edges.columns), files.join(gone, ["project", "path"], "left_anti").select(files.columns)
+    return left, out.select(edges.columns), files.join(merged(gone), ["project", "path"], "left_anti").select(files.columns)
 
 
 def renamed(ids: DataFrame, name: str) -> DataFrame:
@@ -69,12 +69,12 @@ def replace_files(nodes: DataFrame, edges: DataFrame, files: DataFrame, new_node
 
 def missing_files(ledger: DataFrame, on_disk: DataFrame) -> DataFrame:
     """(project, path) of the ledger that are not on disk."""
-    return ledger.select("project", "path").distinct().join(on_disk.select("project", "path"), ["project", "path"], "left_anti")
+    return ledger.select("project", "path").distinct().join(merged(on_disk.select("project", "path")), ["project", "path"], "left_anti")
 
 
 def changed_files(on_disk: DataFrame, ledger: DataFrame) -> DataFrame:
     """Files that are new or have another hash than in the ledger."""
-    return on_disk.join(ledger.select("project", "path", "hash"), ["project", "path", "hash"], "left_anti")
+    return on_disk.join(merged(ledger.select("project", "path", "hash")), ["project", "path", "hash"], "left_anti")
 
 
 def drop_orphans(embeddings: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import EDGES, NODES
-from .lineage import cut
+from .lineage import cut, merged
 
 BUCKET_LINES = 64
 # Names that a language knows without an import, and the prefix of their qualified names.
@@ -83,10 +83,14 @@ def enclosing(points: DataFrame, spans: DataFrame, keys: list[str], bucket: int
     A range join by buckets of lines: a point lies in one, a span in all that it
     touches, so that points meet the spans nearby and not all of a file.
     """
-    wide = spans.select(*keys, F.explode(F.sequence(F.floor(F.col("sl") / bucket), F.floor(F.col("el") / bucket))).alias("_bucket"), F.struct("sl", "sc").alias("_start"), F.struct(F.col("el").alias("sl"), F.col("ec").alias("sc")).alias("_end"), F.col("id").alias("_id"))
+    buckets = F.explode(F.sequence(F.floor(F.col("sl") / bucket), F.floor(F.col("el") / bucket))).alias("_of")
+    wide = spans.select(*[F.col(k).alias(f"_{k}") for k in keys], buckets, F.struct("sl", "sc").alias("_start"), F.struct(F.col("el").alias("sl"), F.col("ec").alias("sc")).alias("_end"), F.col("id").alias("_id"))
     at = points.withColumn("_bucket", F.floor(F.col("sl") / bucket)).withColumn("_at", F.struct("sl", "sc"))
-    pairs = at.join(wide, [*keys, "_bucket"], "left").withColumn("_in", (F.col("_start") <= F.col("_at")) & (F.col("_at") < F.col("_end")))
-    return pairs.groupBy(*points.columns).agg(F.max_by(F.when(F.col("_in"), F.col("_id")), F.when(F.col("_in"), F.col("_start"))).alias("inside"))
+    # only spans around a point leave the join, and not all of its bucket
+    around = (F.col("_bucket") == F.col("_of")) & (F.col("_start") <= F.col("_at")) & (F.col("_at") < F.col("_end"))
+    for k in keys:
+        around = around & (F.col(k) == F.col(f"_{k}"))
+    return at.join(merged(wide), around, "left").groupBy(*points.columns).agg(F.max_by("_id", "_start").alias("inside"))
 
 
 def _node(df: DataFrame, label: Column, name: Column, qualified: Column, signature: Column, doc: Column) -> DataFrame:
@@ -115,7 +119,7 @@ def build(files: DataFrame, emits: DataFrame) -> tuple[DataFrame, DataFrame]:
     route_nodes = _node(routes, F.lit("Route"), route_name, F.concat_ws(".", "module_spec", route_name), F.col("handler"), null)
     nodes = file_nodes.unionByName(def_nodes).unionByName(route_nodes)
 
-    of_file = file_nodes.select("project", F.col("file").alias("path"), F.col("id").alias("file_id"))
+    of_file = merged(file_nodes.select("project", F.col("file").alias("path"), F.col("id").alias("file_id")))
     spans = def_nodes.select("project", F.col("file").alias("path"), "name", (F.col("start_line") - 1).alias("sl"), F.col("start_col").alias("sc"), (F.col("end_line") - 1).alias("el"), F.col("end_col").alias("ec"), "id", "label")
     in_file = spans.groupBy("project", "path", "name").agg(F.max_by("id", F.struct("sl", "sc")).alias("near"))
     unique = spans.groupBy("project", "name").agg(F.min("id").alias("far"), F.count("*").alias("n")).where("n = 1").drop("n")
@@ -128,7 +132,7 @@ def build(files: DataFrame, emits: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def resolved(df: DataFrame, name: Column) -> DataFrame:
         df = df.withColumn("name", name)
-        return df.join(in_file, ["project", "path", "name"], "left").join(unique, ["project", "name"], "left")
+        return df.join(merged(in_file), ["project", "path", "name"], "left").join(merged(unique), ["project", "name"], "left")
 
     sites = ["project", "path", "ord", "target_name", "sl", "sc"]
     calls = resolved(enclosing(emits.where("kind = 'call'").select(*sites), spans.drop("name", "label"), ["project", "path"]), last_segment(F.col("target_name"))).join(of_file, ["project", "path"])
@@ -136,7 +140,7 @@ def build(files: DataFrame, emits: DataFrame) -> tuple[DataFrame, DataFrame]:
     sure = F.when(F.col("near").isNotNull(), "exact").when(F.col("far").isNotNull(), "reference").otherwise("usage")
     bases = resolved(emits.where("kind = 'inherit'").select("project", "path", "ord", F.col("name").alias("own"), "base", "sl", "sc"), last_segment(F.col("base")))
     own = in_file.select("project", "path", F.col("name").alias("own"), F.col("near").alias("own_id"))
-    bases = bases.join(own, ["project", "path", "own"], "left").join(of_file, ["project", "path"])
+    bases = bases.join(merged(own), ["project", "path", "own"], "left").join(of_file, ["project", "path"])
     id_of_route = F.xxhash64("project", "path", F.lit("Route"), F.concat_ws(".", "module_spec", route_name), "sl", "sc")
     handled = resolved(routes.withColumn("route_id", id_of_route), last_segment(F.col("handler"))).join(of_file, ["project", "path"])
     parts = [

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import graph, maintenance, resolve, traces
-from ..operators.lineage import checkpoint_folder
+from ..operators.lineage import checkpoint_folder, merged
 from ..schema import ADR
 from ..sources import extract, files, snapshot
 from ..streaming import incremental
@@ -22,6 +22,8 @@ from . import demo_graph
 from .catalogue import documents, event_traces, query, text_nodes
 
 PROJECT = "shop"
+#: Parts whose files one task makes.
+PARTS = 20_000
 _PARTS = "SELECT p_partkey AS p, p_partkey // 20 AS k, lead(p_partkey) OVER (ORDER BY p_partkey) AS q, row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) - 1 AS i FROM part"
 #: What the files hold, for SQL: parts, and files with their first and number of parts.
 SQL_FILES = (
@@ -41,6 +43,8 @@ def source_files(spark: SparkSession, d: str) -> DataFrame:
     line = F.when(F.col("lang") == "python", F.concat(F.lit("def "), name, F.lit("(x):\n    return "), following, F.lit("(x)")))
     line = line.when(F.col("lang") == "typescript", F.concat(F.lit("function "), name, F.lit("(x) { return "), following, F.lit("(x); }")))
     line = line.otherwise(F.concat(F.lit("func "), name, F.lit("(x int) int { return "), following, F.lit("(x) }")))
+    # in proportion to the table, as Spark would join small partitions whose files and facts are large
+    each = each.repartition(max(1, -(-part.count() // PARTS)), "k")
     # at most twenty lines a file
     body = each.groupBy("k", "lang").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"), F.min("p").cast("string").alias("first"))
     k = F.col("k").cast("string")
@@ -64,7 +68,7 @@ def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def _named_edges(spark: SparkSession, d: str, *types: str) -> DataFrame:
     nodes, edges = _graph(spark, d)
     a, b = nodes.select(F.col("id").alias("src"), F.col("qualified").alias("from")), nodes.select(F.col("id").alias("dst"), F.col("qualified").alias("to"))
-    return edges.where(F.col("type").isin(*types)).join(a, "src").join(b, "dst", "left").select("type", "from", "to", "confidence", "site_line")
+    return edges.where(F.col("type").isin(*types)).join(merged(a), "src").join(merged(b), "dst", "left").select("type", "from", "to", "confidence", "site_line")
 
 
 # Extraction
