@@ -1,8 +1,10 @@
 """Graph reads, Cypher, text, vectors and traces on small graphs made by hand."""
 
 import math
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph import schema
@@ -291,3 +293,16 @@ def test_walks_begin_at_their_sources(spark, edges):
     all_pairs = {(r.src, r.dst) for r in graph.reach(calls, 1, 3).collect()}
     some = graph.reach(calls, 1, 3, sources=spark.createDataFrame([(4,)], "id long"))
     assert {(r.src, r.dst) for r in some.collect()} == {p for p in all_pairs if p[0] == 4} != set()
+
+
+def test_calls_are_made_distinct_where_they_are(spark, nodes, edges):
+    """A called node meets the nodes once, however often it is called, and never by way of the driver; a walk makes distinct only what its frontier reaches."""
+    many = reduce(DataFrame.unionByName, [edges] * 3)
+    for f in (lambda e: graph.dead_code(nodes, e), lambda e: graph.dead_code(nodes, e, include_functions=True), lambda e: graph.entry_points(nodes, e)):
+        assert sorted(f(many).collect()) == sorted(f(edges).collect())
+        for line in (x for x in _plan(f(many)).splitlines() if "Join" in x):
+            assert "LeftAnti" in line and "strategy=merge" in line
+        assert "Aggregate" in _plan(f(many))
+    hops = graph.trace_path(nodes, edges, "main", "both", 2)
+    assert hops.count() == 6  # an edge with two ends reached is two hops
+    assert graph.trace_path(nodes, many, "main", "both", 2).count() == 18

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import glob_to_like
 from ..schema import CALL_TYPES, TRACE_TYPES
-from .lineage import cut, small
+from .lineage import cut, merged, small
 
 
 def degree(edges: DataFrame) -> DataFrame:
@@ -100,7 +100,8 @@ def trace_path(nodes: DataFrame, edges: DataFrame, name: str, direction: str = "
     ways = [w for w, on in (("src", direction != "inbound"), ("dst", direction != "outbound")) if on]
     ends = {"src": "dst", "dst": "src"}
     steps = reduce(DataFrame.unionByName, [used.select(F.col(w).alias("id"), F.col(ends[w]).alias("next")) for w in ways])
-    steps = steps.where("id IS NOT NULL AND next IS NOT NULL").distinct()
+    # made distinct only once they have met the frontier
+    steps = steps.where("id IS NOT NULL AND next IS NOT NULL")
     reached = cut(start_node(nodes, name).select("id", F.lit(0).alias("d")))
     frontier = reached
     for d in range(1, depth):
@@ -111,6 +112,10 @@ def trace_path(nodes: DataFrame, edges: DataFrame, name: str, direction: str = "
         reached = reached.unionByName(frontier)
     from_ = small(reached)
     hops = reduce(DataFrame.unionByName, [used.join(from_, from_["id"] == used[w]).select((F.col("d") + 1).alias("depth"), "src", "dst", "type", "confidence", "site_line") for w in ways])
+    # names are looked up for the nodes of the hops alone
+    hops = cut(hops)
+    met = small(hops.select(F.explode(F.array("src", "dst")).alias("id")).where("id IS NOT NULL").distinct())
+    nodes = nodes.join(met, "id", "left_semi")
     called = F.coalesce("qualified", "name")
     a = nodes.select(F.col("id").alias("src"), called.alias("from"), "file")
     b = nodes.select(F.col("id").alias("dst"), called.alias("to"))
@@ -162,8 +167,8 @@ def blast_risk(radius: DataFrame) -> DataFrame:
 
 def entry_points(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Functions that nothing CALLS."""
-    called = edges.where("type = 'CALLS' AND dst IS NOT NULL").select(F.col("dst").alias("id"))
-    return nodes.where("label = 'Function'").join(called, "id", "left_anti").select("id", "name", "qualified", "file")
+    called = edges.where("type = 'CALLS' AND dst IS NOT NULL").select(F.col("dst").alias("id")).distinct()
+    return nodes.where("label = 'Function'").join(merged(called), "id", "left_anti").select("id", "name", "qualified", "file")
 
 
 def dead_code(nodes: DataFrame, edges: DataFrame, include_functions: bool = False) -> DataFrame:
@@ -172,10 +177,11 @@ def dead_code(nodes: DataFrame, edges: DataFrame, include_functions: bool = Fals
     As a function that nothing calls is an entry point, functions show up only
     with include_functions.
     """
-    used = edges.where(F.col("type").isin(*CALL_TYPES) & F.col("dst").isNotNull()).select(F.col("dst").alias("id"))
-    found = nodes.where(F.col("label").isin("Function", "Method", "Class")).join(used, "id", "left_anti")
+    # an id is sent on once for each task, and not for each call
+    used = edges.where(F.col("type").isin(*CALL_TYPES) & F.col("dst").isNotNull()).select(F.col("dst").alias("id")).distinct()
+    found = nodes.where(F.col("label").isin("Function", "Method", "Class")).join(merged(used), "id", "left_anti")
     if not include_functions:
-        found = found.join(entry_points(nodes, edges).select("id"), "id", "left_anti")
+        found = found.join(merged(entry_points(nodes, edges).select("id")), "id", "left_anti")
     return found.select("id", "name", "qualified", "label", "file", F.col("start_line").alias("line"))
 
 
